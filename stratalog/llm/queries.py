@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_chat": chat.op1_chat,
         "op3_mixing": mixing.op3_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat": chat.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
     }
