@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, licenses, mixing
 
 
 def queries() -> dict:
     return {
         "op1_chat": chat.op1_chat,
         "op3_mixing": mixing.op3_mixing,
+        "op6_licenses": licenses.op6_licenses,
     }
 
 
@@ -16,4 +17,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op6_licenses": licenses.OP6_SQL,
     }
