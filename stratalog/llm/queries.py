@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing
+from . import chat, licenses, mixing, substrings
 
 
 def queries() -> dict:
     return {
         "op1_chat": chat.op1_chat,
         "op3_mixing": mixing.op3_mixing,
+        "op4_substrings": substrings.op4_substrings,
         "op6_licenses": licenses.op6_licenses,
     }
 
@@ -17,5 +18,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op4_substrings": substrings.OP4_SQL.format(docs="documents"),
         "op6_licenses": licenses.OP6_SQL,
     }
