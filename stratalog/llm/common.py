@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Rows in an Arrow batch to Python: whole texts can be long, and Spark bounds a batch by rows alone.
+ARROW_ROWS = 512
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set for the session, as plans read it when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, substrings
+from . import chat, licenses, mixing, near, substrings
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_substrings": substrings.op4_substrings,
         "op6_licenses": licenses.op6_licenses,
+        "op10_near": near.op10_near,
     }
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded_batches, stored, table
 from .words import Words, grams, mix, pieces, split
 
 SPAN, M = 20, 4
@@ -320,6 +320,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
     keep all; null and empty texts have none and the digest of the empty string. Rows with
     equal ids count as one document: at equal starts neither is earlier. An empty table gives
     an empty result; other columns don't matter."""
+    bounded_batches(docs.sparkSession)
     own = _documents(docs, id_col, text_col)
     rows = _with_spans(own, span, m).select("text", "id", "spans")
     out = rows.mapInArrow(lambda b: _kept(b, span, False), "id long, n_words long, n_removed long, kept string")
