@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, near, substrings
+from . import chat, html, licenses, mixing, near, substrings
 
 
 def queries() -> dict:
     return {
         "op1_chat": chat.op1_chat,
+        "op2_html": html.op2_html,
         "op3_mixing": mixing.op3_mixing,
         "op4_substrings": substrings.op4_substrings,
         "op6_licenses": licenses.op6_licenses,
