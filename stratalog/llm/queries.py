@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html, licenses, mixing, near, substrings
+from . import ann, chat, decontamination, html, licenses, mixing, near, substrings
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_substrings": substrings.op4_substrings,
         "op6_licenses": licenses.op6_licenses,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op9_ann": ann.op9_ann,
         "op10_near": near.op10_near,
     }
