@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontamination, html, licenses, mixing, near, substrings
+from . import ann, chat, decontamination, html, licenses, mixing, near, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_html": html.op2_html,
         "op3_mixing": mixing.op3_mixing,
         "op4_substrings": substrings.op4_substrings,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_licenses": licenses.op6_licenses,
         "op7_decontamination": decontamination.op7_decontamination,
         "op9_ann": ann.op9_ann,
