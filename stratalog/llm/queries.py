@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontamination, html, licenses, mixing, near, substrings, toxicity
+from . import ann, chat, decontamination, html, licenses, mixing, near, quality, substrings, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_licenses": licenses.op6_licenses,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_quality": quality.op8_quality,
         "op9_ann": ann.op9_ann,
         "op10_near": near.op10_near,
     }
