@@ -21,7 +21,7 @@ from .common import bounded_batches, table
 from .words import Words, grams, pieces, split
 
 #: Texts in the sample that the scorer learns from, at most, and the longest of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 16_384
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 8_192
 #: Buckets of the hashed words, and the score from which a text is kept.
 BUCKETS, CUT = 1 << 16, 0.5
 LABELLERS = ("length", "word_length", "symbols", "repeats", "diversity", "stops", "digits", "separators")
@@ -179,17 +179,21 @@ class Scorer:
     @staticmethod
     def fit(texts: list[str], target: np.ndarray, epochs: int = 12, seed: int = 3) -> Scorer:
         """Adaptive gradient steps on soft targets, in mini-batches, with decay."""
-        words = split(pa.array(texts, pa.string()), lower=True)
-        h = words.hashes()
-        x = _scaled(measures(words, h))
-        bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-        n = np.maximum(np.diff(words.first), 1)
+        x, bucket, counts = [], [], []
+        for piece in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])):  # bounds the memory
+            words = split(piece.column(0), lower=True)
+            h = words.hashes()
+            x.append(_scaled(measures(words, h)))
+            bucket.append((h % np.uint64(BUCKETS)).astype(np.int32))
+            counts.append(np.diff(words.first))
+        x, bucket, n_words = np.concatenate(x), np.concatenate(bucket), np.concatenate(counts)
+        first, n = np.concatenate([[0], np.cumsum(n_words)]), np.maximum(n_words, 1)
         rng = np.random.default_rng(seed)
         bias, dense, hashed = 0.0, np.zeros(x.shape[1]), np.zeros(BUCKETS)
         g_dense, g_hashed, g_bias = np.full(x.shape[1], 1e-3), np.full(BUCKETS, 1e-6), 1e-3
         for _ in range(epochs):
             for rows in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 64)):
-                at = [np.arange(words.first[r], words.first[r + 1]) for r in rows]
+                at = [np.arange(first[r], first[r + 1]) for r in rows]
                 own = np.concatenate(at) if at else np.zeros(0, np.int64)
                 doc = np.repeat(np.arange(len(rows)), [len(a) for a in at])
                 b = bucket[own]
@@ -219,7 +223,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     texts = [r[0] for r in some.orderBy("h", "t").limit(SAMPLE_ROWS).collect()]
     if not texts:
         texts = [""]
-    target = np.concatenate([model.posterior(_patterns(pa.array(texts[i : i + 500], pa.string()))) for i in range(0, len(texts), 500)])
+    target = np.concatenate([model.posterior(_patterns(p.column(0))) for p in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]))])
     return model, Scorer.fit(texts, target)
 
 

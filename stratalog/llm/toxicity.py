@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if min(map(len, rows)) < 4:
         return Model(b"", b"", ())
     ordinary, toxic = train_dictionaries(rows[1][::2], rows[0][::2])
-    x = np.concatenate([features(pa.array(rows[y][1::2]), ordinary, toxic) for y in (0, 1)])
+    kept = pa.RecordBatch.from_arrays([pa.array(rows[0][1::2] + rows[1][1::2], pa.string())], ["t"])
+    x = np.concatenate([features(p.column(0), ordinary, toxic) for p in pieces(kept)])
     y = np.repeat([0.0, 1.0], [len(rows[0][1::2]), len(rows[1][1::2])])
     w = _logistic(x, y)
     # the sample has another share of toxic rows than the labels
