@@ -2,18 +2,24 @@
 
 Texts with equal shingle sets are one class. Every class walks down independent trees: a
 node chooses positions of the minwise signature, and a class goes to the child named by its
-token there, so similar classes tend to meet. Nodes with few members are compared
-exhaustively, by size and a bit sketch inside the join. A large node compares all members
-with a few pivots and branches again; members that verified links already connect need no
-comparison, so groups of thousands of copies cost a row each and vanish from the trees.
-Candidates are confirmed on full shingle sets, and links are merged to components.
+token there, so similar classes tend to meet. A node with few members compares their bit
+sketches exhaustively; a larger one compares all with a few pivots and branches again.
+Nothing emits pairs: a node gives a spanning forest of the pairs whose sketches may be
+similar enough, and these edges group the classes. Members of a node that are in one group
+need no comparison there, so groups of copies vanish from the trees.
 
-With R trees and survival s per tree, a link at the threshold is missed with probability
-(1 - s)**R: below 1e-6 for the defaults (16 trees, s at least 0.6)."""
+Each group is then compared exhaustively on full shingle sets, every class in it once, by a
+matrix product of set membership; large groups are cut to blocks and compared block by
+block. Each task gives a spanning forest of the true links, whose components are the result.
+
+A link at the threshold is missed by all R trees with probability (1 - s)**R if s is its
+chance to meet in a small node of one tree: 0.8 where the root's children are small, about
+0.5 where many levels are needed; that is below 2e-5 for 16 trees. The sketch loses a link
+at the threshold with probability below 1e-5."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +29,26 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, maybe_broadcast, stored, table
 from .words import mix, pieces, shingle_sets, split
 
-TREES, TOKENS, SKETCH, BRANCH = 16, 64, 128, 2
-#: Members up to which a node is compared exhaustively; pivots of a larger one; levels that branch.
-SMALL, PIVOTS, LEVELS = 64, 4, 8
-#: Members that one copy of a pivot's set serves.
-SERVE = 2000
+TREES, TOKENS, SKETCH = 16, 64, 128
+#: Bits of each minimum in the sketch, and its bytes.
+BITS, SKETCH_BYTES = 2, 32
+#: Children of a class at a level, in turn. Their mean of 1.26 is above 1 / 0.8, so links at the
+#: threshold don't die out from level to level, and below 1 / 0.75, so nodes of less similar texts do.
+BRANCH = (2, 1, 1)
+#: Members up to which a node is always compared exhaustively, and up to which while that makes
+#: no more than WORK comparisons for each class of the corpus; pivots of a larger node; levels that branch.
+SMALL, SMALL_MOST, WORK = 128, 4096, 512
+PIVOTS, LEVELS = 4, 12
+#: Members and shingles of a block of a group.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _U = np.uint64
+_ODD = _U(0x5555555555555555)
 _A = np.random.default_rng(99).integers(1, 2**62, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
 #: Stands for a null id: larger than any that names a component.
 NULL_ID = (1 << 63) - 1
-_SIG = "id long, print long, n long, d1 long, d2 long, s1 long, s2 long, tokens binary"
+_SIG = "id long, print long, n long, d1 long, d2 long, sketch binary, tokens binary"
+_MEMBER = "node long, cls long, n long, sketch binary"
+_EDGE = "a long, b long"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -51,43 +67,218 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
                 d[0, full] = np.add.reduceat(mix(g + _U(1)), begin)
                 d[1, full] = np.add.reduceat(mix(g ^ _U(0x5851F42D4C957F2D)), begin)
             low = mix(low)
-            bits = np.packbits((low >> _U(17) & _U(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+            bits = np.stack([low >> _U(17) & _U(1), low >> _U(18) & _U(1)], 2).reshape(rows, -1).astype(np.uint8)
+            sketch = np.packbits(bits, axis=1)
             tokens = (low[:, :TOKENS] >> _U(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(1), piece.column(2), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in d), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([x.tobytes() for x in tokens], pa.binary())],
-                ["id", "print", "n", "d1", "d2", "s1", "s2", "tokens"],
+                [piece.column(1), piece.column(2), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in d), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in tokens], pa.binary())],
+                ["id", "print", "n", "d1", "d2", "sketch", "tokens"],
             )
 
 
+def _fixed(column: pa.Array, dtype: type) -> np.ndarray:
+    """A column of equally long binaries as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _placed(node: np.ndarray, batch: pa.RecordBatch, first: int) -> pa.RecordBatch:
+    """A row of each node of each row, with the columns from `first` on."""
+    row = pa.array(np.repeat(np.arange(batch.num_rows), node.shape[1]))
+    rest = batch.schema.names[first:]
+    return pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), *(batch.column(i).take(row) for i in range(first, batch.num_columns))], ["node", *rest])
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of each class and tree: the node below the root. tokens, cls, n, s1, s2."""
+    """A row of each (tokens, cls, n, sketch) and tree: the node below the root."""
+    where = np.arange(TREES) * (TOKENS // TREES)
     for batch in batches:
-        tokens = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in batch.column(0)]) if batch.num_rows else np.zeros((0, TOKENS), np.uint32)
-        where = np.arange(TREES) * (TOKENS // TREES)
-        node = mix(mix(tokens[:, where].astype(np.uint64) + _U(1)) + mix(where.astype(np.uint64) + _U(77)))
-        rest = [pa.array(np.repeat(batch.column(i).to_numpy(), TREES)) for i in range(1, 5)]
-        yield pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), *rest], ["node", "cls", "n", "s1", "s2"])
+        if batch.num_rows:
+            tokens = _fixed(batch.column(0), np.uint32)
+            yield _placed(mix(mix(tokens[:, where].astype(np.uint64) + _U(1)) + mix(where.astype(np.uint64) + _U(77))), batch, 1)
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """BRANCH rows of each (tokens, node, cls, n, s1, s2): the node chooses the positions."""
+def _children(batches: Iterator[pa.RecordBatch], branch: int) -> Iterator[pa.RecordBatch]:
+    """`branch` rows of each (tokens, node, cls, n, sketch, label): the node chooses the positions."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in batch.column(0)])
+        tokens = _fixed(batch.column(0), np.uint32)
         parent = batch.column(1).to_numpy().view(np.uint64)
-        node = np.empty((len(parent), BRANCH), np.uint64)
-        for j in range(BRANCH):
+        node = np.empty((len(parent), branch), np.uint64)
+        for j in range(branch):
             at = (mix(parent + _U(1000 + j)) % _U(TOKENS)).astype(np.int64)
             node[:, j] = mix(parent * _U(3) + mix(tokens[np.arange(len(parent)), at].astype(np.uint64) + _U(1)) + mix(at.astype(np.uint64)))
-        rest = [pa.array(np.repeat(batch.column(i).to_numpy(), BRANCH)) for i in range(2, 6)]
-        yield pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), *rest], ["node", "cls", "n", "s1", "s2"])
-
-
-_MEMBER = "node long, cls long, n long, s1 long, s2 long"
+        yield _placed(node, batch, 2)
+
+
+def most_apart(percent: int) -> int:
+    """Minima in which sketches of a link may differ: 4.5 deviations beyond the mean at the threshold."""
+    p = (1 - percent / 100) * (1 - 0.5**BITS)
+    return int(SKETCH * p + 4.5 * (SKETCH * p * (1 - p)) ** 0.5) + 1
+
+
+def _maybe(n: np.ndarray, sketch: np.ndarray, i: slice, percent: int) -> np.ndarray:
+    """Which pairs of rows i with all rows may be similar enough, by size and sketch."""
+    apart = np.zeros((len(n[i]), len(n)), np.uint16)
+    for w in range(sketch.shape[1]):
+        x = sketch[i, w][:, None] ^ sketch[:, w]
+        apart += np.bitwise_count((x | x >> _U(1)) & _ODD)
+    small, large = np.minimum(n[i][:, None], n), np.maximum(n[i][:, None], n)
+    return (apart <= most_apart(percent)) & (small * 100 >= large * percent)
+
+
+class _Forest:
+    """Union-find over rows 0..n-1 that remembers the edges that joined two trees."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.edges.append((x, y))
+
+    def stars(self, cls: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
+        """Edges that connect the labels within each tree, from its least class: from many nodes
+        with the same members come the same edges."""
+        least: dict[tuple[int, int], int] = {}
+        for i, (c, x) in enumerate(zip(cls.tolist(), label.tolist())):
+            key = (self.find(i), x)
+            least[key] = min(least.get(key, c), c)
+        center: dict[int, int] = {}
+        for (root, _), c in least.items():
+            center[root] = min(center.get(root, c), c)
+        found = [(center[root], c) for (root, _), c in least.items() if c != center[root]]
+        return [x for x, _ in found], [y for _, y in found]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of column 0, which come together, as one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        if held and held[0].column(0)[0].as_py() != int(key[0]):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)]).combine_chunks().to_batches()[0] if held else batch.slice(a, b - a)
+            held = []
+        held.append(batch.slice(cuts[-2]))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _edges_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _node_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each node's rows (node, cls, n, sketch, label) a spanning forest of the maybe similar
+    pairs that labels don't connect."""
+    a, b = [], []
+    for group in _groups(batches):
+        cls, n, label = (group.column(i).to_numpy() for i in (1, 2, 4))
+        if len(cls) < 2 or (label == label[0]).all():
+            continue
+        sketch = _fixed(group.column(3), np.uint64)
+        forest = _Forest(len(cls))
+        first: dict[int, int] = {}
+        for i, x in enumerate(label.tolist()):
+            forest.join(first.setdefault(x, i), i)
+        forest.edges = []
+        for lo in range(0, len(cls), 256):
+            maybe = _maybe(n, sketch, slice(lo, lo + 256), percent)
+            maybe &= label[lo : lo + 256][:, None] != label
+            maybe &= np.arange(len(cls)) > np.arange(lo, lo + len(maybe))[:, None]
+            for i in np.flatnonzero(maybe.any(1)).tolist():
+                for j in np.flatnonzero(maybe[i]).tolist():
+                    forest.join(lo + i, j)
+        if forest.edges:
+            more = forest.stars(cls, label)
+            a += more[0]
+            b += more[1]
+        if len(a) > 10_000:
+            yield _edges_batch(a, b)
+            a, b = [], []
+    yield _edges_batch(a, b)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each task's rows (task, cls, n, sketch, set) a spanning forest of the links."""
+    a, b = [], []
+    for group in _groups(batches):
+        if group.num_rows < 2:
+            continue
+        cls, n = group.column(1).to_numpy(), group.column(2).to_numpy()
+        sketch = _fixed(group.column(3), np.uint64)
+        forest = _linked(n, sketch, [np.frombuffer(x, np.uint64) for x in group.column(4).to_pylist()], percent)
+        if forest.edges:
+            more = forest.stars(cls, cls)
+            a += more[0]
+            b += more[1]
+    yield _edges_batch(a, b)
+
+
+def _linked(n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> _Forest:
+    """The links among sets, exactly: one by one where sketches leave few pairs, else by matrix products."""
+    size = len(n)
+    forest = _Forest(size)
+    rows, cols = [], []
+    for lo in range(0, size, 256):
+        maybe = _maybe(n, sketch, slice(lo, lo + 256), percent)
+        maybe &= np.arange(size) > np.arange(lo, lo + len(maybe))[:, None]
+        i, j = np.nonzero(maybe)
+        rows.append(i + lo)
+        cols.append(j)
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    if len(rows) <= 8 * size:
+        for x, y in zip(rows.tolist(), cols.tolist()):
+            if forest.find(x) != forest.find(y):
+                both = np.sort(np.concatenate([sets[x], sets[y]]), kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                    forest.join(x, y)
+        return forest
+    owner = np.repeat(np.arange(size), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    shared = np.zeros(len(flat), bool)  # shingles of one set alone make no intersection
+    shared[:-1] = ~new[1:]
+    shared |= ~new
+    column, owner = (np.cumsum(new) - 1)[shared], owner[shared]
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    common = np.zeros((size, size), np.float32)
+    width = 2048
+    bounds = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + width, width))
+    for x, y in zip(bounds[:-1], bounds[1:]):
+        if y > x:
+            part = np.zeros((size, width), np.float32)
+            part[owner[x:y], column[x:y] % width] = 1
+            common += part @ part.T
+    counts = np.rint(common).astype(np.int64)
+    for x, y in zip(rows.tolist(), cols.tolist()):
+        c = int(counts[x, y])
+        if 100 * c >= percent * (int(n[x]) + int(n[y]) - c):
+            forest.join(x, y)
+    return forest
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(cls, set) of (text, cls)."""
     for batch in batches:
         for piece in pieces(batch):
             g, at = shingle_sets(split(piece.column(0), lower=True), k)
@@ -95,30 +286,6 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([piece.column(1), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["cls", "set"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of (a, b, set of a, set of b) whose sets are similar enough."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a, b), a being the class that many pairs may share.
-
-    The sets of such classes are copied once for each SERVE pairs, so no task gets them all."""
-    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVE).alias("_n"))
-    dealt = pairs.join(copies, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_n")))
-    first = copies.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("set", "_x"), "a").select("a", "_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_salt"))
-    both = dealt.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("set", "_y"), "b").select("a", "_salt", "b", "_y").join(first, ["a", "_salt"])
-    return both.select("a", "b", "_x", "_y").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(cls, label) of every class with a link: label is the smallest class of its component.
 
@@ -136,60 +303,108 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("cls", "label")
 
 
-def _may_link(percent: int) -> str:
-    # 4.5 deviations of the sketch beyond its mean at the threshold
-    p = (1 - percent / 100) / 2
-    most = int(SKETCH * p + 4.5 * (SKETCH * p * (1 - p)) ** 0.5) + 1
-    return f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {most} and x.label != y.label"
-
-
-def class_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links (a, b) that connect all classes connected by similarity.
-
-    classes: cls, n, s1, s2, tokens; sets_of: gives (cls, set) of a table of cls."""
-    members = stored(classes.select("tokens", "cls", "n", "s1", "s2").mapInArrow(_roots, _MEMBER), "near-roots").withColumn("label", F.col("cls"))
-    may, links, tested, sets = _may_link(percent), None, None, None
+def small_size(sizes: DataFrame, n_classes: int) -> int:
+    """Members up to which nodes are compared exhaustively at a level, given (node, size)."""
+    step = F.ceil(F.log2(F.greatest(F.col("size"), F.lit(SMALL)) / SMALL)).cast("int")
+    most, work = SMALL, 0.0
+    for row in sizes.groupBy(step.alias("step")).agg(F.sum(F.col("size").cast("double") * F.col("size") / 2).alias("work")).orderBy("step").collect():  # a row per power of two
+        work += row["work"]
+        if SMALL << row["step"] > SMALL_MOST or row["step"] and work > WORK * n_classes:
+            break
+        most = SMALL << row["step"]
+    return most
+
+
+def maybe_groups(classes: DataFrame, percent: int) -> DataFrame:
+    """(cls, label) of every class that may have a link; links are within equal labels.
+
+    classes: cls, n, sketch, tokens."""
+    n_classes = classes.count()
+    known = None
+
+    def grow(found: DataFrame) -> None:
+        """Bring labels up to date with new edges: their ends' labels are the nodes of a small graph."""
+        nonlocal known
+        found = stored(found.distinct(), "near-edges")
+        if known is None:
+            known = components(found)
+            return
+        if not found.limit(1).count():
+            return
+        of = known.select(F.col("cls").alias("_end"), F.col("label").alias("_of"))
+        ends = found.join(of, F.col("a") == F.col("_end"), "left").select(F.coalesce("_of", "a").alias("a"), F.col("b").alias("_b"))
+        ends = ends.join(of, F.col("_b") == F.col("_end"), "left").select("a", F.coalesce("_of", "_b").alias("b")).where("a != b").distinct()
+        merged = components(stored(ends, "near-ends")).select(F.col("cls").alias("_was"), F.col("label").alias("_is"))
+        old = known.join(merged, F.col("label") == F.col("_was"), "left").select("cls", F.coalesce("_is", "label").alias("label"))
+        new = merged.join(known, F.col("_was") == F.col("cls"), "left_anti").select(F.col("_was").alias("cls"), F.col("_is").alias("label"))
+        known = stored(old.unionByName(new), "near-labels")
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.drop("label").join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """Nodes whose members have several labels, with their size."""
+        return members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi").select("node", "size")
+
+    roots = classes.select("tokens", "cls", "n", "sketch").mapInArrow(_roots, _MEMBER)
+    members = stored(roots, "near-members").withColumn("label", F.col("cls"))
     level = 1
     while True:
-        sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("size > 1 and _lo != _hi").drop("_lo", "_hi")
-        kept = stored(members.join(sizes, "node"), "near-nodes")
-        small, large = kept.where(F.col("size") <= SMALL).drop("size"), kept.where(F.col("size") > SMALL).drop("size")
+        nodes = stored(members.join(mixed(members), "node"), "near-nodes")
+        most = small_size(nodes.select("node", "size").distinct(), n_classes)
+        large = nodes.where(F.col("size") > most)
+        # pivots of large nodes: each goes to all parts of its node, members to one
         q = F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(PIVOTS))
-        pivots = stored(large.groupBy("node", q.alias("_q")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(-level)).alias("_h"), "cls", "n", "s1", "s2", "label")).alias("_p")).select("node", "_p.cls", "_p.n", "_p.s1", "_p.s2", "_p.label"), "near-pivots")
+        pivots = stored(large.groupBy("node", q.alias("_q")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(-level)).alias("_h"), "cls", "n", "sketch", "label")).alias("_p")).select("node", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ("cls", "n", "sketch", "label")]), "near-pivots")
         many = pivots.count()
-        inside = small.alias("x").join(small.alias("y"), F.expr(f"x.node = y.node and x.cls < y.cls and {may}")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        starred = large.alias("y").join(maybe_broadcast(pivots, many).alias("x"), F.expr(f"x.node = y.node and x.cls != y.cls and {may}")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        pairs = inside.union(starred).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        if sets is None:
-            # sets of all that may still be compared: those in a pair, and all in large nodes
-            wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(large.select("cls")).distinct(), "near-wanted")
-            sets = stored(sets_of(wanted), "near-sets")
-        # first a pair of each class with its least partner, then those that still have two labels
-        best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = stored(confirmed(best, sets, percent), "near-links")
-        links = found if links is None else stored(links.union(found), "near-links")
-        known = components(links)
-        ends = known.select(F.col("cls").alias("a"), F.col("label").alias("_la")), known.select(F.col("cls").alias("b"), F.col("label").alias("_lb"))
-        open_ = pairs.join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(_la, a) != coalesce(_lb, b)").select("a", "b")
-        links = stored(links.union(confirmed(stored(open_, "near-open"), sets, percent)), "near-links")
-        known = components(links)
-        tested = pairs if tested is None else stored(tested.union(pairs), "near-tested")
+        if many:
+            pairs = large.join(maybe_broadcast(pivots, many), "node").where("cls != p_cls and label != p_label")
+            starred = pairs.select("p_cls", "p_n", "p_sketch", "cls", "n", "sketch").mapInArrow(lambda it: _pivot_edges(it, percent), _EDGE)
+            grow(starred)
+        small = nodes.where(F.col("size") <= most)
+        dealt = small.select("node", "cls", "n", "sketch", "label").repartition("node").sortWithinPartitions("node")
+        grow(dealt.mapInArrow(lambda it: _node_edges(it, percent), _EDGE))
         if not many:
-            return links
-        rest = large.drop("label").join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            return known
+        rest = labelled(large.drop("size"))
         if level < LEVELS:
-            next_ = rest.join(classes.select("cls", "tokens"), "cls").select("tokens", "node", "cls", "n", "s1", "s2").mapInArrow(_children, _MEMBER)
-            members = stored(next_.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "near-children")
+            branch = BRANCH[(level - 1) % len(BRANCH)]
+            rest = rest.join(mixed(rest).select("node"), "node", "left_semi")
+            rest = rest.join(classes.select("cls", "tokens"), "cls").select("tokens", "node", "cls", "n", "sketch", "label").mapInArrow(lambda it, branch=branch: _children(it, branch), f"{_MEMBER}, label long")
         else:
             # no more branching: pivots are done with their node and leave it, until it is small
-            done = pivots.select("node", "cls")
-            members = stored(rest.join(maybe_broadcast(done, many), ["node", "cls"], "left_anti"), "near-rest")
+            rest = rest.join(pivots.select("node", F.col("p_cls").alias("cls")), ["node", "cls"], "left_anti")
+        members = stored(rest, "near-members")
         level += 1
 
 
+def _pivot_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Which rows (pivot's cls, n, sketch, member's cls, n, sketch) may be a link."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p, m = _fixed(batch.column(2), np.uint64), _fixed(batch.column(5), np.uint64)
+        x = p ^ m
+        apart = np.bitwise_count((x | x >> _U(1)) & _ODD).sum(1)
+        a, b = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+        keep = pa.array((apart <= most_apart(percent)) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(3).filter(keep)], ["a", "b"])
+
+
+def group_links(grouped: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within each group. grouped: cls, label, n, sketch, set.
+
+    A group within the bounds of a block is one task. A larger one is cut to blocks by hash,
+    and each two blocks, and each with itself, are a task."""
+    sizes = grouped.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("_blocks"), F.count("*").alias("_size")).where("_size > 1")
+    own = F.pmod(F.xxhash64("cls"), F.col("_blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    dealt = grouped.join(sizes, "label").withColumn("_own", own).withColumn("_other", other)
+    task = F.xxhash64("label", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    dealt = dealt.select(task.alias("task"), "cls", "n", "sketch", "set").repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(lambda it: _block_links(it, percent), _EDGE)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -199,29 +414,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as its one shingle; a null or empty text has none, is linked with nothing and kept. Rows
     with equal ids are separate texts with one id. Null ids are linked like others but name a
     component only among themselves. An empty table gives an empty result."""
+    out = _components_of(docs, id_col, text_col, k, percent)
+    plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return out.select(plain("id").alias("doc_id"), F.col("n").alias("n_shingles"), plain("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with their columns, that near_duplicates() keeps."""
+    gone = stored(_components_of(docs, id_col, text_col, k, percent).where("id != component").select(F.col("id").alias("_id"), F.col("print").alias("_print")).distinct(), "near-gone")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_print": F.xxhash64(text)})
+    return keyed.join(maybe_broadcast(gone, gone.count()), ["_id", "_print"], "left_anti").select(*docs.columns)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(id, print of the text, shingles, component) of each row; NULL_ID stands for null."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("print"))
     rows = stored(own.mapInArrow(lambda it: _signatures(it, k), _SIG), "near-rows")
-    grouped = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min_by("print", "id").alias("print"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("tokens").alias("tokens"))
+    grouped = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min_by("print", "id").alias("print"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
     classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        many = wanted.count()
-        keys = classes.join(maybe_broadcast(wanted, many), "cls", "left_semi").select("cls", "id", "print")
-        texts = own.join(maybe_broadcast(keys, many), ["id", "print"]).select("text", "cls")
-        sets = stored(texts.mapInArrow(lambda it: _sets(it, k), "cls long, set binary"), "near-texts")
-        # rows that repeat an id and its text come more than once
-        return sets if sets.count() == many else sets.groupBy("cls").agg(F.first("set").alias("set"))
-
-    label = components(class_links(classes, sets_of, percent))
+    groups = stored(maybe_groups(classes, percent).join(classes.select("cls", "id", "print", "n", "sketch"), "cls"), "near-groups")
+    many = groups.count()
+    texts = own.join(maybe_broadcast(groups.select("cls", "id", "print"), many), ["id", "print"]).select("text", "cls")
+    sets = stored(texts.mapInArrow(lambda it: _sets(it, k), "cls long, set binary"), "near-sets")
+    if sets.count() != many:  # rows that repeat an id and its text come more than once
+        sets = sets.groupBy("cls").agg(F.first("set").alias("set"))
+    label = components(stored(group_links(groups.select("cls", "label", "n", "sketch").join(sets, "cls"), percent), "near-links"))
     named = classes.select("d1", "d2", "n", "cls", "id").join(label, "cls", "left")
     least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("_least"))
     named = stored(named.join(least, "label", "left").select("d1", "d2", "n", F.coalesce("_least", "id").alias("component")), "near-labels")
-    out = rows.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "id"))
-    plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(plain("id").alias("doc_id"), F.col("n").alias("n_shingles"), plain("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    out = rows.select("id", "print", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "id"))
+    return out.select("id", "print", "n", "component")
 
 
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+pairs as (select x, y from e union all select y, x from e),
+reach as (select x, y from pairs union select r.x, b.y from reach r join pairs b on r.y = b.x),
+lowest as (select x, min(y) as y from reach group by x)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(l.y, w.doc_id)) as component_id, w.doc_id <= coalesce(l.y, w.doc_id) as kept
+from w left join n on n.doc_id = w.doc_id left join lowest l on l.x = w.doc_id
+"""
