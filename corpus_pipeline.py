@@ -1,21 +1,56 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: toxicity, near-dedup, substring dedup, decontamination and mixing.
+
+Each stage reads what the one before it wrote and works on all of it; the first four return
+the columns of documents. Texts are cut only by substring dedup (n_chars follows), rows go
+with the other decisions: toxic texts, all but one of a group of near copies, texts that
+hold benchmark items, and what the mix doesn't take. The last gives a row per document of
+the mix: doc_id, size, source_size, target, taken."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.llm import decontamination, mixing, near, substrings, toxicity
+from stratalog.llm.common import bounded_batches, stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.withColumn("_score", toxicity.scores(model, F.col("text")))
+    return scored.where(F.col("_score") < toxicity.CUT).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.without_duplicates(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
 
-from stratalog.llm import mixing
-from stratalog.llm.common import stored, table
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontamination.item_hits(F.col("text"), table(spark, sf_dir, "benchmark"))
+    return docs.withColumn("_hits", F.size(hits)).where("_hits = 0").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).where("taken > 0")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mixing", mix_sources)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeats),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+]
 
+#: The stages aren't SQL; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 

@@ -139,4 +139,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+
+
+OP7_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+k as (select item_id, w, least(5, len(w)) as k from b where len(w) > 0),
+i as (select distinct item_id, k, array_to_string(w[j : j + k - 1], ' ') as g from (select *, unnest(range(1, len(w) - k + 2)) as j from k)),
+n as (select item_id, count(*) as n from i group by item_id),
+g as (select distinct r, k, array_to_string(w[j : j + k - 1], ' ') as g from (select r, w, k, unnest(range(1, len(w) - k + 2)) as j from d, (select distinct k from i))),
+c as (select r, item_id, count(*)::double / any_value(n) as share from g join i using (k, g) join n using (item_id) group by r, item_id),
+h as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id) as item_ids, max(share) as share from c where share >= 0.8 group by r)
+select doc_id, coalesce(n_items, 0)::bigint as n_items, coalesce(item_ids, '') as item_ids, coalesce(share, 0)::double as share, n_items is not null as contaminated from d left join h using (r)
+"""

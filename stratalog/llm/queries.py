@@ -26,4 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.OP3_SQL,
         "op4_substrings": substrings.OP4_SQL.format(docs="documents"),
         "op6_licenses": licenses.OP6_SQL,
+        "op7_decontamination": decontamination.OP7_SQL,
+        "op10_near": near.OP10_SQL,
     }

@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, table
@@ -279,7 +279,7 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, m: int = M, text_bytes:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, print long, at long, windows long")
 
 
-def _kept(batches: Iterator[pa.RecordBatch], span: int, want_text: bool) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterable[pa.RecordBatch], span: int, want_text: bool) -> Iterator[pa.RecordBatch]:
     """Of rows (text, id, spans): the words that no span covers. spans: first word and windows, in turn."""
     for batch in batches:
         for piece in pieces(batch):
@@ -327,6 +327,32 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def _kept_text(span: int) -> Callable[[Column, Column], Column]:
+    @F.arrow_udf("string")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            batch = pa.RecordBatch.from_arrays([texts, pa.nulls(len(texts), pa.int64()), spans], ["text", "id", "spans"])
+            parts = [b.column(3) for b in _kept([batch], span, True)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return kept
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, m: int = M) -> DataFrame:
+    """docs with the same columns and rows, texts without their repeated words.
+
+    The kept words of a text that loses some are joined by single spaces; other texts and
+    nulls stay as they are. What is repeated is as in digest()."""
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = _documents(docs, id_col, text_col)
+    spans = repeated_windows(own, span, m).groupBy("id", "print").agg(F.flatten(F.collect_set(F.array("at", "windows"))).alias("_spans")).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "_spans")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_print": F.xxhash64(text)})
+    joined = keyed.join(spans, ["_id", "_print"], "left")
+    new = F.when(F.col("_spans").isNotNull(), _kept_text(span)(text, F.coalesce("_spans", F.array().cast("array<bigint>")))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, new).select(*docs.columns)
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
