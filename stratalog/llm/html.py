@@ -32,6 +32,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widgets?|footer\w*|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|newsletter|subscribe|signup|login|comments?|commentlist|respond|replies|reply|disqus|discussion|share|sharing|social\w*|related\w*|recommend\w*|trending|pagination|pager|tags|copyright|legal|disclaimer|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, words that also name the frame around a whole page, like `with-sidebar`: an article or main inside is no part of it.
+FRAME = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|sidebar\w*|side|aside|widgets?|banner\w*|masthead|topbar|toolbar|header)(?=$|[\s_-])", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?=$|[\s_-])", re.I)
 #: Opening one of these ends an open p; and what an item of each kind ends.
 ENDS_P = BLOCK - frozenset("body caption dd dt html legend li option summary tbody td tfoot th thead tr".split())
@@ -47,21 +49,21 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # name, skipped, boilerplate, container
+        self.stack: list[tuple[str, bool, int, int]] = []  # name, skipped, boilerplate (1 by a frame's name, 2), container
         self.blocks: list[tuple[str, int, int, bool]] = []  # text, tags, container, boilerplate
         self.parents: list[tuple[int, str]] = [(-1, "")]
         self.parts: list[str] = []
         self.tags = 0
 
-    def _top(self) -> tuple[str, bool, bool, int]:
-        return self.stack[-1] if self.stack else ("", False, False, 0)
+    def _top(self) -> tuple[str, bool, int, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0)
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
             _, _, boiler, container = self._top()
-            self.blocks.append((text, self.tags, container, boiler))
+            self.blocks.append((text, self.tags, container, boiler > 0))
             self.tags = 0
 
     def _close(self, at: int) -> None:
@@ -97,7 +99,12 @@ class _Reader(HTMLParser):
         inside = {x[0] for x in self.stack}
         own_header = tag == "header" and inside & OWN_HEADER
         named = tag not in ("html", "body", "article", "main") and bool(NAMES.search(name) or (not inside & OWN_HEADER and HEADER_NAMES.search(name)))
-        boiler = boiler or (tag in BOILER and not own_header) or named or a.get("role", "").lower() in ROLES
+        if boiler == 1 and tag in OWN_HEADER:
+            boiler = 0
+        if (tag in BOILER and not own_header) or a.get("role", "").lower() in ROLES or (named and NAMES.search(FRAME.sub(" ", name))):
+            boiler = 2
+        elif named:
+            boiler = max(boiler, 1)
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
         if tag in SCOPE:
             self.parents.append((container, tag))

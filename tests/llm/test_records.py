@@ -43,6 +43,7 @@ PAGES = [
     ("<article><h1>T &amp; t</h1><p>First  long\nparagraph of <b>the</b> story, with text.<p>Second one.<br>More</article><footer>&copy; x</footer>", "T & t\n\nFirst long paragraph of the story, with text.\n\nSecond one. More"),
     ("<nav><a>Home</a></nav><div class='ad'>Buy!</div><main><header><h1>Head</h1></header><p>Body text that is long enough to be the main text.</p><aside>Side</aside><div id='comments'><p>I am a reader and this is my long comment on it.</p></div><form>Mail<input></form></main>", "Head\n\nBody text that is long enough to be the main text."),
     ("<div class='header'>Site</div><div class='content'><p>A body without any article element, long enough to be found.</p><ul><li>one</li><li>two</li></ul></div><div class='sidebar'>links</div>", "A body without any article element, long enough to be found.\n\none\n\ntwo"),
+    ("<div class='page with-sidebar'><div class='sidebar'>links</div><article><p>Inside a frame that names its sidebar.</p></article><div id='comments'><article><p>A reader's comment, which is as long as the article.</p></article></div></div>", "Inside a frame that names its sidebar."),
     ("<script>var a='<p>no</p>'</script><style>p{}</style>", ""),
     ("", ""),
     (None, ""),
