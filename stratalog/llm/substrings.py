@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored, table
 from .words import Words, grams, mix, pieces, split
 
-SPAN, M = 20, 4
+SPAN, M = 20, 3
+#: Of the frames' compression: these are most of what is shuffled.
+ZSTD_LEVEL = 6
 #: Cells of minimisers for counting, and from how many times the mean a cell is hot.
 CELLS, HOT = 1 << 16, 16
 #: Input bytes for each bucket of windows.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 #: Packed bytes that a task holds before it sends them on.
-HOLD_BYTES = 48 << 20
+HOLD_BYTES = 24 << 20
 _U = np.uint64
 NO_ID = -(1 << 63)
 
@@ -103,6 +105,17 @@ _HEAD = struct.Struct("<qqqqi")
 _HEAD_TYPE = np.dtype([("id", "<i8"), ("print", "<i8"), ("at", "<i8"), ("windows", "<i8"), ("bytes", "<i4")])
 
 
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Rows (id, print, first word, windows) with runs that follow each other in a text made one."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    cut = np.ones(len(rows), bool)
+    cut[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1) | (rows[1:, 2] > rows[:-1, 2] + rows[:-1, 3])
+    begin = np.flatnonzero(cut)
+    out = rows[begin]
+    out[:, 3] = np.maximum.reduceat(rows[:, 2] + rows[:, 3], begin) - out[:, 2]
+    return out
+
+
 class _Sender:
     """Packs strings into compressed frames by bucket, each distinct one once."""
 
@@ -154,19 +167,20 @@ class _Sender:
             frames.setdefault(b, []).append(_HEAD.pack(i, p, a, n, len(string)))
             frames[b].append(string)
         self.seen, self.held = {}, 0
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
         buckets, blobs, size = [], [], 0
         for b, parts in frames.items():
-            heads, strings = b"".join(parts[::2]), b"".join(parts[1::2])
+            head = np.frombuffer(b"".join(parts[::2]), _HEAD_TYPE)
+            columns = b"".join(np.ascontiguousarray(head[f]).tobytes() for f in _HEAD_TYPE.names)  # alike bytes together
             buckets.append(b)
-            blobs.append(squeeze.compress(struct.pack("<q", len(parts) // 2) + heads + strings))
+            blobs.append(squeeze.compress(struct.pack("<q", len(head)) + columns + b"".join(parts[1::2])))
             size += len(blobs[-1])
             if size > 4 << 20:
                 yield self._batch(buckets, blobs)
                 buckets, blobs, size = [], [], 0
         if self.repeats:
             # what this task already knows to be repeats: bucket -1 doesn't exist, so any will do
-            known = np.concatenate(self.repeats)
+            known = _merged(np.concatenate(self.repeats))
             self.repeats = []
             buckets.append(-1 - int(known[0, 0]) % self.buckets)
             blobs.append(squeeze.compress(known.tobytes()))
@@ -195,8 +209,12 @@ def _repeats(frames: list[bytes], span: int) -> np.ndarray:
     for frame in frames:
         raw = open_.decompress(frame)
         n = struct.unpack_from("<q", raw)[0]
-        heads.append(np.frombuffer(raw, _HEAD_TYPE, n, 8))
-        strings.append(np.frombuffer(raw, np.uint8, offset=8 + n * _HEAD_TYPE.itemsize))
+        head, at = np.zeros(n, _HEAD_TYPE), 8
+        for f in _HEAD_TYPE.names:
+            head[f] = np.frombuffer(raw, _HEAD_TYPE[f], n, at)
+            at += n * _HEAD_TYPE[f].itemsize
+        heads.append(head)
+        strings.append(np.frombuffer(raw, np.uint8, offset=at))
     head, buf = np.concatenate(heads), np.concatenate(strings)
     at = np.zeros(len(head) + 1, np.int64)
     np.cumsum(head["bytes"], out=at[1:])
@@ -237,7 +255,7 @@ def _repeats(frames: list[bytes], span: int) -> np.ndarray:
     cut[1:] = (np.diff(dup) != 1) | (owner[dup[1:]] != owner[dup[:-1]])
     begin = np.flatnonzero(cut)
     lead = dup[begin]
-    return np.stack([ids[lead], prints[lead], places[lead], np.diff(np.append(begin, len(dup)))], 1)
+    return _merged(np.stack([ids[lead], prints[lead], places[lead], np.diff(np.append(begin, len(dup)))], 1))
 
 
 def _runs(rows: np.ndarray) -> pa.RecordBatch:
@@ -276,7 +294,8 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, m: int = M, text_bytes:
             yield _runs(_repeats(frames, span))
 
     sent = docs.select("text", "id", "print").mapInArrow(send, "bucket long, frame binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, print long, at long, windows long")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 64)
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, print long, at long, windows long")
 
 
 def _kept(batches: Iterable[pa.RecordBatch], span: int, want_text: bool) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is a piece of its own.
-PIECE_BYTES = 3 << 20
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
