@@ -63,10 +63,14 @@ def test_pipeline_stages(spark):
         assert WORD.findall(texts[i]) == [x for j, x in enumerate(w) if j not in gone]
 
     before, after = kept["decontamination"]
-    plain = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
-    shingles = lambda t: {tuple(plain(t)[i : i + 5]) for i in range(len(plain(t)) - 4)}
+
+    def shingles(t):
+        w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
     known = [shingles(t) for t in items]
-    clean = {i for i, t in before.items() if not any(s and len(s & shingles(t)) >= 0.8 * len(s) for s in known)}
+    held = {i: shingles(t) for i, t in before.items()}
+    clean = {i for i, x in held.items() if not any(s and len(s & x) >= 0.8 * len(s) for s in known)}
     assert {r.doc_id for r in after.collect()} == clean
 
     before, after = kept["mixing"]
