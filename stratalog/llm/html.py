@@ -3,8 +3,10 @@
 A standard-library parser streams its events into blocks, each with its text, the tags seen
 in it and the chain of its containers. Blocks in boilerplate containers are set aside. The
 text-to-tag ratios of the other blocks, line by line, are smoothed with a Gaussian, and a
-two-means threshold splits them into content and the rest. The container that holds most
-content is the article: all its blocks are kept, short ones too."""
+two-means threshold splits them into content and the rest. An article or main element that
+holds half of the content is the article: all its blocks are kept, short ones too. Pages
+without one keep every block but those that are mostly links and lie ahead of the first or
+behind the last content block, outside the container of the content."""
 
 from __future__ import annotations
 
@@ -39,21 +41,25 @@ HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?=$|[
 ENDS_P = BLOCK - frozenset("body caption dd dt html legend li option summary tbody td tfoot th thead tr".split())
 ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article aside body div dl footer form header main nav ol section table ul".split())
+#: Titles, which may be links to their own page, and containers that are parts of an article rather than around it.
+TITLES = frozenset({"h1", "h2"})
+PARTS = frozenset("dl ol section table ul".split())
 SPACE = re.compile(r"\s+")
 
 
 class _Reader(HTMLParser):
-    """Collects (text, characters, tags, container path, boilerplate?) of each block."""
+    """Collects (text, tags, container, boilerplate?, mostly links?) of each block."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int]] = []  # name, skipped, boilerplate (1 by a frame's name, 2), container
-        self.blocks: list[tuple[str, int, int, bool]] = []  # text, tags, container, boilerplate
+        self.blocks: list[tuple[str, int, int, bool, bool]] = []  # text, tags, container, boilerplate, links
         self.parents: list[tuple[int, str]] = [(-1, "")]
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0
 
     def _top(self) -> tuple[str, bool, int, int]:
         return self.stack[-1] if self.stack else ("", False, 0, 0)
@@ -63,8 +69,10 @@ class _Reader(HTMLParser):
         self.parts = []
         if text:
             _, _, boiler, container = self._top()
-            self.blocks.append((text, self.tags, container, boiler > 0))
+            links = self.linked * 2 >= len(text) and not any(x[0] in TITLES for x in self.stack)
+            self.blocks.append((text, self.tags, container, boiler > 0, links))
             self.tags = 0
+        self.linked = 0
 
     def _close(self, at: int) -> None:
         if any(x[0] in BLOCK for x in self.stack[at:]):
@@ -130,6 +138,8 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._top()[1]:
             self.parts.append(data)
+            if any(x[0] == "a" for x in self.stack):
+                self.linked += len(SPACE.sub(" ", data).strip())
 
 
 def _smooth(x: list[float], sigma: float) -> list[float]:
@@ -170,7 +180,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     blocks = [b for b in reader.blocks if not b[3]]
     if not blocks:
         return ""
-    ratio = _smooth([len(t) / max(1, tags) for t, tags, _, _ in blocks], sigma)
+    raw = [len(t) / max(1, tags) for t, tags, *_ in blocks]
+    ratio = _smooth(raw, sigma)
     cut = _threshold(ratio)
     content = [r > cut or len(blocks) == 1 or max(ratio) == min(ratio) for r in ratio]
 
@@ -181,21 +192,33 @@ def main_text(html: str, sigma: float = 1.0) -> str:
             container = reader.parents[container][0]
         return out[::-1]
 
-    # the deepest container with nearly all content text; an article or main around it counts whole
-    weight: dict[int, int] = {}
-    total = 0
     paths = [path(b[2]) for b in blocks]
-    for b, p, c in zip(blocks, paths, content):
-        if c:
-            total += len(b[0])
-            for x in p:
+
+    def weigh() -> tuple[dict[int, int], int]:
+        """The content characters of each container and of all."""
+        weight: dict[int, int] = {}
+        for b, p, c in zip(blocks, paths, content):
+            for x in p if c else ():
                 weight[x] = weight.get(x, 0) + len(b[0])
+        return weight, sum(len(b[0]) for b, c in zip(blocks, content) if c)
+
+    weight, total = weigh()
     marked = [x for x in weight if reader.parents[x][1] in OWN_HEADER and weight[x] * 2 >= total]
     if marked:
         best = min(marked, key=lambda x: (reader.parents[x][1] != "article", x))
-    else:
-        best = max((x for x in weight if weight[x] * 10 >= total * 7), key=lambda x: x)
-    return "\n\n".join(b[0] for b, p in zip(blocks, paths) if best in p)
+        return "\n\n".join(b[0] for b, p in zip(blocks, paths) if best in p)
+    # no such element: links that only their neighbours' text lifts over the threshold are no content
+    own = [c and (not b[4] or r > cut) for b, c, r in zip(blocks, content, raw)]
+    content = own if any(own) else content
+    weight, total = weigh()
+    # the container of all content, or of most of it where that is the page, has its links too
+    best = max(x for x in weight if weight[x] == total)
+    while reader.parents[best][1] in PARTS:
+        best = reader.parents[best][0]
+    if reader.parents[best][1] in ("", "body"):
+        best = max(x for x in weight if weight[x] * 10 >= total * 7)
+    first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    return "\n\n".join(b[0] for i, (b, p) in enumerate(zip(blocks, paths)) if not b[4] or first <= i <= last or best in p)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

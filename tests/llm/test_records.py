@@ -66,6 +66,20 @@ def test_html_of_long_articles(spark):
     assert html.main_text(page) == "\n\n".join(re.sub(r"\s+", " ", p).strip() for p in body)
 
 
+def test_html_without_article_element_keeps_all_but_boilerplate():
+    said = lambda i, n: f"Part {i} " + "word " * n + "end."
+    nav, links = "<div><a href='/'>Home</a> <a href='/all'>All</a></div>", "<ul><li><a href='/x'>Another page</a></li><li><a href='/y'>And one more</a></li></ul>"
+    section = "".join(f"<p>{said(i, 50)}</p>" for i in range(6))
+    page = f"<body>{nav}<div id='content'><h1><a href='/t'>Title</a></h1><p>{said('intro', 100)}</p><section>{section}</section></div>{links}</body>"
+    assert html.main_text(page) == "\n\n".join(["Title", said("intro", 100), *(said(i, 50) for i in range(6))])
+    items = [said(i, 80) for i in range(20)]
+    rows = "".join(f"<li>{x}</li>" for x in items)
+    post = f"<body>{nav}<div><h2>Post</h2><p>A short intro.</p><ul>{rows}</ul><p>Sincerely, me</p></div>{links}</body>"
+    assert html.main_text(post) == "\n\n".join(["Post", "A short intro.", *items, "Sincerely, me"])
+    apart = f"<body>{nav}<div><h1>Head</h1></div><div><p>Lead, {said(0, 4)}</p></div><div><section><p>{said(1, 900)}</p></section></div>{links}</body>"
+    assert html.main_text(apart) == "\n\n".join(["Head", "Lead, " + said(0, 4), said(1, 900)])
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, rank string, score int")
 
