@@ -36,6 +36,12 @@ NAMES = re.compile(
 )
 #: Of these, words that also name the frame around a whole page, like `with-sidebar`: an article or main inside is no part of it.
 FRAME = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|sidebar\w*|side|aside|widgets?|banner\w*|masthead|topbar|toolbar|header)(?=$|[\s_-])", re.I)
+#: Elements whose ids often derive from the words of a heading; of them headings and paragraphs are no containers.
+WORDED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
+CONTAINERS = BLOCK - (WORDED - {"section"})
+#: Whole names that say boilerplate inside an article too: ids, and as classes don't derive from headings, more classes.
+OWN_IDS = frozenset("ad ads advert advertisement advertisements share sharing share-buttons share-links social-share comments comment-list commentlist comment-form comments-area comments-section disqus_thread related-posts related-articles newsletter-signup".split())
+OWN_CLASSES = OWN_IDS | frozenset("ad-container ad-slot adsense banner-ad breadcrumb breadcrumbs navbar pager pagination popup sidebar sponsored widget newsletter hidden".split())
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?=$|[\s_-])", re.I)
 #: Opening one of these ends an open p; and what an item of each kind ends.
 ENDS_P = BLOCK - frozenset("body caption dd dt html legend li option summary tbody td tfoot th thead tr".split())
@@ -103,8 +109,13 @@ class _Reader(HTMLParser):
             self._flush()
         _, skipped, boiler, container = self._top()
         a = {k: v or "" for k, v in attrs}
-        name = f"{a.get('class', '')} {a.get('id', '')}"
         inside = {x[0] for x in self.stack}
+        names, ids = a.get("class", ""), a.get("id", "")
+        if inside & OWN_HEADER:
+            names = " ".join(x for x in names.split() if x.lower() in OWN_CLASSES and tag in CONTAINERS)
+        if inside & OWN_HEADER or tag in WORDED:
+            ids = " ".join(x for x in ids.split() if x.lower() in OWN_IDS and tag in CONTAINERS)
+        name = f"{names} {ids}"
         own_header = tag == "header" and inside & OWN_HEADER
         named = tag not in ("html", "body", "article", "main") and bool(NAMES.search(name) or (not inside & OWN_HEADER and HEADER_NAMES.search(name)))
         if boiler == 1 and tag in OWN_HEADER:

@@ -80,6 +80,20 @@ def test_html_without_article_element_keeps_all_but_boilerplate():
     assert html.main_text(apart) == "\n\n".join(["Head", "Lead, " + said(0, 4), said(1, 900)])
 
 
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_html_ids_and_classes_of_article_parts(around):
+    ids = ["related-work", "recommendations", "social-impact", "side-effects", "legal-background", "cookies", "share"]
+    heads = [x for i in ids for x in (f"On {i}", f"What is to be said of {i}, at some length.")]
+    body = "".join(f"<h2 id='{i}'>{heads[2 * n]}</h2><p id='{i}-text'>{heads[2 * n + 1]}</p>" for n, i in enumerate(ids))
+    body += "<section id='discussion'><h2>Discussion</h2><p>Which is a section of the article.</p></section>"
+    want = [*heads, "Discussion", "Which is a section of the article."]
+    if around != "div":
+        body += "<div class='notice'><p>A remark of the author.</p></div>"
+        want.append("A remark of the author.")
+    body += "<div class='box ads'><p>Buy a thing, it is good.</p></div><div class='Share'><p>Tell all your friends of it.</p></div><section id='comments'><p>I liked it, says a reader.</p></section>"
+    assert html.main_text(f"<body><{around}>{body}</{around}></body>") == "\n\n".join(want)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, rank string, score int")
 
