@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items fall into classes by size, a power of two. For a class of size s a document is a row
+Items of a few shingles are looked up by so many of them that a text which contains the item
+has one at least. Other items fall into classes by size, a power of two. For a class of size s a document is a row
 of windows of 2s shingles, s apart, so that a passage of an item lies whole in some window
 of about its size, however long the document: there containment becomes a resemblance that
 a signature finds. An item and a window that share any of the signature's minima are a
@@ -22,10 +23,10 @@ from .words import Words, grams, pieces, shingle_sets, split
 
 #: Words of a shingle and the share of an item's shingles that counts as contained.
 K, CONTAINED = 5, 0.8
-#: Minima of a signature. An item of which 0.8 is in a window resembles it by at least 0.19,
-#: so it goes unseen with probability 0.81 ** 64, about one in a million.
+#: Minima of a signature. An item of more than half its class's size of which 0.8 is in a window
+#: resembles it by at least 0.19, so it goes unseen with probability 0.81 ** 64, about one in a million.
 MINIMA = 64
-#: Items that are broadcast at once, and the smallest size class.
+#: Items that are broadcast at once, and the smallest size class; items of up to half of that are looked up exactly.
 ITEM_BLOCK, LEAST = 20_000, 8
 _U = np.uint64
 _A = np.random.default_rng(5).integers(1, 2**62, MINIMA, dtype=np.uint64) * _U(2) + _U(1)
@@ -36,7 +37,7 @@ NO_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 class Items:
     """Shingle sets of a block of items, and their minima by size class."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int):
+    def __init__(self, ids: list[int], texts: list[str], k: int, contained: float = CONTAINED):
         words = split(pa.array(texts, pa.string()), NO_WORD, lower=True)
         self.k, self.ids = k, ids
         sets, at = shingle_sets(words, k)
@@ -45,17 +46,38 @@ class Items:
         self.short: dict[int, dict[int, list[int]]] = {}
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by_size: dict[int, list[int]] = {}
+        few: list[int] = []
         for i, n in enumerate(count.tolist()):
             if 0 < n < k:
                 one = Words(words.buf, words.start[words.first[i] : words.first[i + 1]], words.end[words.first[i] : words.first[i + 1]], np.array([0, n]))
                 self.short.setdefault(n, {}).setdefault(int(grams(one.hashes(), one.first, n)[0][0]), []).append(i)
+            elif n and len(self.sets[i]) * 2 <= LEAST:
+                few.append(i)
             elif n:
-                by_size.setdefault(max(LEAST, 1 << (len(self.sets[i]) - 1).bit_length()), []).append(i)
+                by_size.setdefault(1 << (len(self.sets[i]) - 1).bit_length(), []).append(i)
+        self.keys, self.key_rows = self._keys(few, contained)
         for size, rows in by_size.items():
             minima = np.array([[(self.sets[i] * a).min() for a in _A] for i in rows], np.uint64)
             rows_ = np.array(rows)
             self.classes[size] = [(minima[o, j], rows_[o]) for j in range(MINIMA) for o in [np.argsort(minima[:, j], kind="stable")]]
 
+    def _keys(self, few: list[int], contained: float) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles to look these items up by, sorted, and their items.
+
+        Of n shingles of which m must be found any n - m + 1 will do: those that fewest items have."""
+        if not few:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        seen, counts = np.unique(np.concatenate([self.sets[i] for i in few]), return_counts=True)
+        keys, rows = [], []
+        for i in few:
+            own, n = self.sets[i], len(self.sets[i])
+            need = next((m for m in range(1, n) if m / n >= contained), n)
+            keys.append(own[np.argsort(counts[np.searchsorted(seen, own)], kind="stable")[: n - need + 1]])
+            rows += [i] * (n - need + 1)
+        all_keys = np.concatenate(keys)
+        order = np.argsort(all_keys, kind="stable")
+        return all_keys[order], np.array(rows)[order]
+
     def found(self, words: Words, contained: float) -> list[list[tuple[int, float]]]:
         """Of each text the items it contains, with the share of their shingles, by item id."""
         h = words.hashes()
@@ -77,6 +99,12 @@ class Items:
                 lo, hi = np.searchsorted(minima, window, "left"), np.searchsorted(minima, window, "right")
                 for w in np.flatnonzero(hi > lo).tolist():
                     pairs.update((int(owner[w]), int(r)) for r in rows[lo[w] : hi[w]])
+        if len(self.keys):
+            lo = np.searchsorted(self.keys, g, "left")
+            hit = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == g)
+            hi = np.searchsorted(self.keys, g[hit], "right")
+            for w, d, b in zip(hit.tolist(), (np.searchsorted(at, hit, "right") - 1).tolist(), hi.tolist()):
+                pairs.update((d, int(r)) for r in self.key_rows[lo[w] : b])
         out: list[dict[int, float]] = [{} for _ in range(words.texts)]
         own, own_set = -1, None
         for d, i in sorted(pairs):
@@ -121,7 +149,7 @@ def item_hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_
     columns = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        known = spark.sparkContext.broadcast(Items(part.column(0).to_pylist(), part.column(1).to_pylist(), k))
+        known = spark.sparkContext.broadcast(Items(part.column(0).to_pylist(), part.column(1).to_pylist(), k, contained))
         columns.append(_finder(known, contained)(F.coalesce(text.cast("string"), F.lit(""))))
     return columns[0] if blocks == 1 else F.concat(*columns)
 

@@ -210,6 +210,26 @@ def test_decontamination(spark, docs_of):
     assert decontamination.contaminated(docs_of(texts).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("contained", [0.8, 0.5])
+def test_items_of_few_shingles(contained):
+    rng = random.Random(9)
+    items = [prose(rng, 5 + i % 4, 5000) for i in range(1200)] + ["again " * 30, "what is the name of it"]
+    items += [f"what is the name of {x}" for x in ("that", "this")]
+    texts = [f"{x} {prose(rng, 40, 5000)}" for x in items] + [f"{prose(rng, 60, 5000)} {x} {prose(rng, 60, 5000)}" for x in items]
+    texts += [x[: x.rindex(" ")] for x in items] + ["", "what is the name of"]
+    split = lambda x: words.split(pa.array(x), decontamination.NO_WORD, lower=True)
+    sets = lambda x: [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in x]
+    known, holders = sets(items), {}
+    for i, s in enumerate(known):
+        for g in s:
+            holders.setdefault(g, set()).add(i)
+    want = []
+    for s in sets(texts):
+        near = {i for g in s for i in holders.get(g, ())}
+        want.append([(i, len(known[i] & s) / len(known[i])) for i in sorted(near) if len(known[i] & s) / len(known[i]) >= contained])
+    assert decontamination.Items(list(range(len(items))), items, 5, contained).found(split(texts), contained) == want
+
+
 def test_items_in_blocks(spark, docs_of, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEM_BLOCK", 2)
     rng = random.Random(6)
