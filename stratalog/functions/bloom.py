@@ -59,23 +59,17 @@ def build(keys: DataFrame, key: str, run: str | None = None) -> DataFrame:
 def may_contain(probes: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """(key, run) for each filter that says maybe: all distinct positions of the key are set.
 
-    Probes and filters meet by position in one equi-join; an absent key costs what positions
-    happen to be set, and a hot position spreads by (run, pos)."""
-    filters = bits.select("run", "bits").distinct()
+    Filters of equal size have a key at equal positions, so positions are worked out by key and
+    size, and meet the set bits of all filters of the size in one equi-join: every filter is
+    asked, however many there are; an absent key costs what positions happen to be set."""
+    sizes = bits.select("bits").distinct()
     own = _hashed(probes.select(F.col(key).cast("binary").alias("_key")).distinct())
-    asked = own.join(F.broadcast(filters) if _few(filters) else filters, how="cross").select("_key", "run", F.array_distinct(positions(F.col("_h1"), F.col("_h2"), F.col("bits"))).alias("_at"))
-    need = asked.select("_key", "run", F.size("_at").alias("_need"), F.explode("_at").alias("pos"))
-    hits = need.join(bits.select("run", "pos"), ["run", "pos"]).groupBy("_key", "run", "_need").agg(F.count("*").alias("_n"))
+    asked = own.join(small_side(sizes), how="cross").select("_key", "bits", F.array_distinct(positions(F.col("_h1"), F.col("_h2"), F.col("bits"))).alias("_at"))
+    need = asked.select("_key", "bits", F.size("_at").alias("_need"), F.explode("_at").alias("pos"))
+    hits = need.join(bits.select("run", "bits", "pos"), ["bits", "pos"]).groupBy("_key", "run", "_need").agg(F.count("*").alias("_n"))
     return hits.where("_n = _need").select(F.col("_key").alias(key), "run")
 
 
-def _few(filters: DataFrame, most: int = 10_000) -> bool:
-    """Every key asks every filter, as a lookup asks every run; runs are few, and checked to be."""
-    if filters.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} filters; compact the runs first")
-    return True
-
-
 def packed(bits: DataFrame) -> DataFrame:
     """(run, bits, hashes, byte, value): the filter's bytes, bit p in byte p / 8 at p mod 8, where not 0."""
     value = F.bit_or(F.expr("shiftleft(1, cast(pos % 8 as int))")).cast("int")

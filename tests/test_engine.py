@@ -138,6 +138,16 @@ def test_bloom_columns_equal_bytes(spark):
     assert bytes(packed) == section[5:]
 
 
+def test_bloom_asks_every_filter(spark):
+    members = {i: [b"member%d" % j for j in range(i, i + 1 + i % 3)] for i in range(10_300)}
+    asked = [b"member3", b"member10200", b"missing", b"member10301"]
+    keys = spark.createDataFrame([(i, bytearray(k)) for i, own in members.items() for k in own], "run int, k binary")
+    probes = spark.createDataFrame([(bytearray(k),) for k in asked], "key binary")
+    got = {(bytes(r.key), r.run) for r in bloom.may_contain(probes, "key", bloom.build(keys, "k", "run")).collect()}
+    sections = {i: binary.bloom(own, len(own)) for i, own in members.items()}
+    assert got == {(k, i) for k in asked for i, s in sections.items() if binary.bloom_says_maybe(s, k)}
+
+
 def test_files_round_trip(spark, tmp_path):
     rows = random_rows(400, 40, 3)
     log = mutations(spark, rows)
