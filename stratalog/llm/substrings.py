@@ -117,13 +117,16 @@ def _merged(rows: np.ndarray) -> np.ndarray:
 
 
 class _Sender:
-    """Packs strings into compressed frames by bucket, each distinct one once."""
+    """Packs strings into compressed frames by bucket, each distinct one once.
+
+    Only where other texts of the same id have it at the same word too, it goes once for each of these."""
 
     def __init__(self, buckets: int, hot: list[int], span: int, m: int):
         self.buckets, self.span, self.m = buckets, span, m
         self.hot = np.zeros(CELLS, bool)
         self.hot[hot] = True
         self.seen: dict[bytes, tuple[int, int, int, int, int]] = {}
+        self.twins: dict[bytes, set[int]] = {}  # prints of these other texts
         self.held = 0
         self.repeats: list[np.ndarray] = []
 
@@ -154,9 +157,12 @@ class _Sender:
             elif (had[0], had[1]) <= (i, a):
                 if (had[0], had[1]) < (i, a):
                     late.append((i, p, a, n))
+                elif p != had[2] and p not in self.twins.setdefault(string, set()):
+                    self.twins[string].add(p)
+                    size += e - s + 150
             else:
                 seen[string] = (i, a, p, n, b)
-                late.append((had[0], had[2], had[1], had[3]))
+                late += [(had[0], q, had[1], had[3]) for q in (had[2], *self.twins.pop(string, ()))]
         self.held += size
         if late:
             self.repeats.append(np.array(late, np.int64))
@@ -164,9 +170,10 @@ class _Sender:
     def send(self) -> Iterator[pa.RecordBatch]:
         frames: dict[int, list[bytes]] = {}
         for string, (i, a, p, n, b) in self.seen.items():
-            frames.setdefault(b, []).append(_HEAD.pack(i, p, a, n, len(string)))
-            frames[b].append(string)
-        self.seen, self.held = {}, 0
+            for q in (p, *self.twins.get(string, ())):
+                frames.setdefault(b, []).append(_HEAD.pack(i, q, a, n, len(string)))
+                frames[b].append(string)
+        self.seen, self.twins, self.held = {}, {}, 0
         squeeze = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
         buckets, blobs, size = [], [], 0
         for b, parts in frames.items():

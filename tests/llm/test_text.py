@@ -112,6 +112,22 @@ def test_substrings_of_repeated_ids_and_nulls(spark, docs_of):
     assert substrings.digest(docs_of([(1, "a")]).limit(0)).count() == 0
 
 
+def test_substrings_of_other_texts_with_the_same_id(spark, docs_of):
+    rng = random.Random(12)
+    p = prose(rng, 40)
+    ahead, tails = [prose(rng, 7, 9000) for _ in range(3)], [prose(rng, 30, 9000) for _ in range(4)]
+    # both texts of id 9, or without one, have the passage at the same word, and it starts earlier in another
+    for rows, want in (
+        ([(9, f"{p} {tails[0]}"), (9, f"{p} {tails[1]}"), (5, f"{p} {tails[2]}"), (12, f"{tails[3]} {p}")], [(12, 40), (5, 0), (9, 40), (9, 40)]),
+        ([(None, f"{ahead[0]} {p}"), (None, f"{ahead[1]} {p} {tails[1]}"), (None, f"{p} {tails[2]}"), (3, f"{ahead[2]} {p}")], [(3, 40), (None, 0), (None, 40), (None, 40)]),
+    ):
+        for order in (rows, rows[::-1]):
+            whole = docs_of(order)
+            earlier = whole.where(f"text like '{p} {tails[2]}'")
+            for docs in (whole.coalesce(1), earlier.coalesce(1).unionByName(whole.exceptAll(earlier).coalesce(1))):
+                assert sorted(((r.doc_id, r.n_removed) for r in substrings.digest(docs).collect()), key=repr) == want
+
+
 # --- near-dedup ---
 
 
