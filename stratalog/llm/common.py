@@ -51,6 +51,18 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     """df with `rank` (long, from 0) in the given order, without one task that sorts all rows.
 

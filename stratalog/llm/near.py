@@ -2,20 +2,26 @@
 
 Texts with equal shingle sets are one class. Every class walks down independent trees: a
 node chooses positions of the minwise signature, and a class goes to the child named by its
-token there, so similar classes tend to meet. A node with few members compares their bit
-sketches exhaustively; a larger one compares all with a few pivots and branches again.
-Nothing emits pairs: a node gives a spanning forest of the pairs whose sketches may be
-similar enough, and these edges group the classes. Members of a node that are in one group
-need no comparison there, so groups of copies vanish from the trees.
-
-Each group is then compared exhaustively on full shingle sets, every class in it once, by a
-matrix product of set membership; large groups are cut to blocks and compared block by
-block. Each task gives a spanning forest of the true links, whose components are the result.
+token there, so similar classes tend to meet. Classes that meet in a small node have their bit
+sketches compared exhaustively; those that may be similar are a cluster, whose members are
+compared on full shingle sets, exactly. What comes out is a spanning forest of verified links,
+never pairs, and the components of all forests so far are the labels of the classes.
+
+Trees are taken in batches, the first small. Members of a node that have one label need no
+comparison there and a node of one label is done, so later trees look only for what earlier ones
+missed, and a group of any size leaves the trees once it is connected. A node too large to be
+compared exhaustively first compares its members with a few of them, its pivots. If all but a few
+members then have one label, blocks of those are compared with the few others, which is complete;
+else the node branches. After LEVELS levels a node is compared exhaustively, block by block.
 
 A link at the threshold is missed by all R trees with probability (1 - s)**R if s is its
 chance to meet in a small node of one tree: 0.8 where the root's children are small, about
-0.5 where many levels are needed; that is below 2e-5 for 16 trees. The sketch loses a link
-at the threshold with probability below 1e-5."""
+0.5 where many levels are needed; that is below 2e-5 for 16 trees that share no tokens. Below the
+roots trees draw from common tokens, which makes them less independent; on 10,000 documents
+with groups of up to thousands no link was missed (tests/llm). The sketch loses a link at the
+threshold with probability below 1e-5.
+
+Of each round only clusters' members have their texts read again for their sets, once a class."""
 
 from __future__ import annotations
 
@@ -26,20 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, maybe_broadcast, stored, table
+from .common import bounded_batches, fresh, maybe_broadcast, stored, table
 from .words import mix, pieces, shingle_sets, split
 
-TREES, TOKENS, SKETCH = 16, 64, 128
+TREES, TOKENS, SKETCH = 16, 128, 128
+#: Trees of each batch.
+BATCHES = (4, 12)
 #: Bits of each minimum in the sketch, and its bytes.
 BITS, SKETCH_BYTES = 2, 32
 #: Children of a class at a level, in turn. Their mean of 1.26 is above 1 / 0.8, so links at the
 #: threshold don't die out from level to level, and below 1 / 0.75, so nodes of less similar texts do.
 BRANCH = (2, 1, 1)
-#: Members up to which a node is always compared exhaustively, and up to which while that makes
-#: no more than WORK comparisons for each class of the corpus; pivots of a larger node; levels that branch.
-SMALL, SMALL_MOST, WORK = 128, 4096, 512
-PIVOTS, LEVELS = 4, 12
-#: Members and shingles of a block of a group.
+#: Members up to which a node is compared exhaustively; pivots of a larger one; levels that branch.
+SMALL, PIVOTS, LEVELS = 4096, 4, 12
+#: Members and shingles of a block of a cluster.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _U = np.uint64
 _ODD = _U(0x5555555555555555)
@@ -48,6 +54,7 @@ _A = np.random.default_rng(99).integers(1, 2**62, SKETCH, dtype=np.uint64) * _U(
 NULL_ID = (1 << 63) - 1
 _SIG = "id long, print long, n long, d1 long, d2 long, sketch binary, tokens binary"
 _MEMBER = "node long, cls long, n long, sketch binary"
+_CLUSTER = "cluster long, cls long, label long, n long, sketch binary"
 _EDGE = "a long, b long"
 
 
@@ -88,9 +95,9 @@ def _placed(node: np.ndarray, batch: pa.RecordBatch, first: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), *(batch.column(i).take(row) for i in range(first, batch.num_columns))], ["node", *rest])
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _roots(batches: Iterator[pa.RecordBatch], trees: range) -> Iterator[pa.RecordBatch]:
     """A row of each (tokens, cls, n, sketch) and tree: the node below the root."""
-    where = np.arange(TREES) * (TOKENS // TREES)
+    where = np.array(trees) * (TOKENS // TREES)
     for batch in batches:
         if batch.num_rows:
             tokens = _fixed(batch.column(0), np.uint32)
@@ -98,7 +105,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _children(batches: Iterator[pa.RecordBatch], branch: int) -> Iterator[pa.RecordBatch]:
-    """`branch` rows of each (tokens, node, cls, n, sketch, label): the node chooses the positions."""
+    """`branch` rows of each (tokens, node, cls, n, sketch): the node chooses the positions."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -183,61 +190,107 @@ def _edges_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _node_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each node's rows (node, cls, n, sketch, label) a spanning forest of the maybe similar
-    pairs that labels don't connect."""
-    a, b = [], []
+def _cluster_rows(cluster: np.ndarray, at: np.ndarray, group: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows `at` of (_, cls, n, sketch, label) in their clusters."""
+    cls, n, sketch, label = (group.column(i).take(pa.array(at)) for i in (1, 2, 3, 4))
+    return pa.RecordBatch.from_arrays([pa.array(cluster.view(np.int64)), cls, label, n, sketch], ["cluster", "cls", "label", "n", "sketch"])
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each task's rows (task, cls, n, sketch, label) those that may be similar to one of another
+    label, as the connected clusters they make. Equal clusters of several nodes have equal names."""
     for group in _groups(batches):
         cls, n, label = (group.column(i).to_numpy() for i in (1, 2, 4))
         if len(cls) < 2 or (label == label[0]).all():
             continue
         sketch = _fixed(group.column(3), np.uint64)
-        forest = _Forest(len(cls))
-        first: dict[int, int] = {}
-        for i, x in enumerate(label.tolist()):
-            forest.join(first.setdefault(x, i), i)
-        forest.edges = []
+        near = np.zeros((len(cls), len(cls)), bool)
         for lo in range(0, len(cls), 256):
-            maybe = _maybe(n, sketch, slice(lo, lo + 256), percent)
-            maybe &= label[lo : lo + 256][:, None] != label
-            maybe &= np.arange(len(cls)) > np.arange(lo, lo + len(maybe))[:, None]
-            for i in np.flatnonzero(maybe.any(1)).tolist():
-                for j in np.flatnonzero(maybe[i]).tolist():
-                    forest.join(lo + i, j)
-        if forest.edges:
-            more = forest.stars(cls, label)
-            a += more[0]
-            b += more[1]
-        if len(a) > 10_000:
-            yield _edges_batch(a, b)
-            a, b = [], []
-    yield _edges_batch(a, b)
+            i = slice(lo, lo + 256)
+            near[i] = _maybe(n, sketch, i, percent) & (label[i][:, None] != label)
+        left = near.any(1)
+        names, rows = [], []
+        while left.any():
+            seen = np.zeros(len(cls), bool)
+            front = np.array([int(np.argmax(left))])
+            while len(front):
+                seen[front] = True
+                front = np.flatnonzero(near[front].any(0) & ~seen)
+            left &= ~seen
+            at = np.flatnonzero(seen)
+            name = mix(np.add.reduce(mix(cls[at].astype(np.uint64) + _U(5)), keepdims=True))
+            names.append(np.repeat(name, len(at)))
+            rows.append(at)
+        if rows:
+            yield _cluster_rows(np.concatenate(names), np.concatenate(rows), group)
+
+
+def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Clusters of the members of large nodes that may be similar to a pivot of another label, from
+    rows (node, cls, n, sketch, label, parts, pivots): a member goes to its nearest such pivot, a
+    pivot to all; a pivot's members are dealt to as many clusters as the node has parts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        each = batch.column(6)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(each.offsets.to_numpy()))
+        cls, n, label, parts = (batch.column(i).to_numpy() for i in (1, 2, 4, 5))
+        p_cls, p_n, p_sketch, p_label = each.flatten().flatten()
+        sketch = _fixed(batch.column(3), np.uint64)
+        x = _fixed(p_sketch, np.uint64) ^ sketch[row]
+        apart = np.bitwise_count((x | x >> _U(1)) & _ODD).sum(1)
+        p, size = p_cls.to_numpy(), p_n.to_numpy()
+        maybe = (apart <= most_apart(percent)) & (np.minimum(size, n[row]) * 100 >= np.maximum(size, n[row]) * percent) & (p_label.to_numpy() != label[row])
+        is_pivot = np.zeros(batch.num_rows, bool)
+        is_pivot[row[p == cls[row]]] = True
+        found = np.flatnonzero(maybe)
+        found = found[np.lexsort((p[found], apart[found], row[found]))]
+        nearest = np.ones(len(found), bool)
+        nearest[1:] = row[found][1:] != row[found][:-1]
+        found = found[nearest | is_pivot[row[found]]]
+        own = row[found]
+        cluster = mix(mix(p[found].astype(np.uint64)) + mix(parts[own].astype(np.uint64)) * _U(3) + mix(cls[own].astype(np.uint64)) % parts[own].astype(np.uint64))
+        yield _cluster_rows(cluster, own, batch)
+        _, once = np.unique(cluster, return_index=True)
+        at = pa.array(found[once])
+        columns = [pa.array(cluster[once].view(np.int64)), *(c.take(at) for c in (p_cls, p_label, p_n, p_sketch))]
+        yield pa.RecordBatch.from_arrays(columns, ["cluster", "cls", "label", "n", "sketch"])
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each task's rows (task, cls, n, sketch, set) a spanning forest of the links."""
+    """Of each task's rows (task, cls, label, n, sketch, set) a spanning forest of the links that
+    connect labels."""
     a, b = [], []
     for group in _groups(batches):
         if group.num_rows < 2:
             continue
-        cls, n = group.column(1).to_numpy(), group.column(2).to_numpy()
-        sketch = _fixed(group.column(3), np.uint64)
-        forest = _linked(n, sketch, [np.frombuffer(x, np.uint64) for x in group.column(4).to_pylist()], percent)
+        cls, label, n = (group.column(i).to_numpy() for i in (1, 2, 3))
+        sketch = _fixed(group.column(4), np.uint64)
+        forest = _linked(n, sketch, [np.frombuffer(x, np.uint64) for x in group.column(5).to_pylist()], percent, label)
         if forest.edges:
-            more = forest.stars(cls, cls)
+            more = forest.stars(cls, label)
             a += more[0]
             b += more[1]
+        if len(a) > 10_000:
+            yield _edges_batch(a, b)
+            a, b = [], []
     yield _edges_batch(a, b)
 
 
-def _linked(n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> _Forest:
-    """The links among sets, exactly: one by one where sketches leave few pairs, else by matrix products."""
+def _linked(n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int, label: np.ndarray | None = None) -> _Forest:
+    """The links among sets of different labels, exactly: one by one where sketches leave few pairs,
+    else by matrix products. Equal labels count as joined."""
     size = len(n)
     forest = _Forest(size)
+    label = np.arange(size) if label is None else label
+    first: dict[int, int] = {}
+    for i, x in enumerate(label.tolist()):
+        forest.join(first.setdefault(x, i), i)
+    forest.edges = []
     rows, cols = [], []
     for lo in range(0, size, 256):
         maybe = _maybe(n, sketch, slice(lo, lo + 256), percent)
-        maybe &= np.arange(size) > np.arange(lo, lo + len(maybe))[:, None]
+        maybe &= (np.arange(size) > np.arange(lo, lo + len(maybe))[:, None]) & (label[lo : lo + 256][:, None] != label)
         i, j = np.nonzero(maybe)
         rows.append(i + lo)
         cols.append(j)
@@ -303,106 +356,145 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("cls", "label")
 
 
-def small_size(sizes: DataFrame, n_classes: int) -> int:
-    """Members up to which nodes are compared exhaustively at a level, given (node, size)."""
-    step = F.ceil(F.log2(F.greatest(F.col("size"), F.lit(SMALL)) / SMALL)).cast("int")
-    most, work = SMALL, 0.0
-    for row in sizes.groupBy(step.alias("step")).agg(F.sum(F.col("size").cast("double") * F.col("size") / 2).alias("work")).orderBy("step").collect():  # a row per power of two
-        work += row["work"]
-        if SMALL << row["step"] > SMALL_MOST or row["step"] and work > WORK * n_classes:
-            break
-        most = SMALL << row["step"]
-    return most
-
+class _Labels:
+    """The label of every class, from the links found so far: the smallest class of its component.
+    Classes without a link are their own label and not in the table."""
 
-def maybe_groups(classes: DataFrame, percent: int) -> DataFrame:
-    """(cls, label) of every class that may have a link; links are within equal labels.
+    def __init__(self) -> None:
+        self.known: DataFrame | None = None
+        self.rows = 0
 
-    classes: cls, n, sketch, tokens."""
-    n_classes = classes.count()
-    known = None
-
-    def grow(found: DataFrame) -> None:
-        """Bring labels up to date with new edges: their ends' labels are the nodes of a small graph."""
-        nonlocal known
-        found = stored(found.distinct(), "near-edges")
-        if known is None:
-            known = components(found)
-            return
+    def grow(self, found: DataFrame) -> bool:
+        """Take in links (a, b), stored. Their ends' labels are the nodes of a small graph."""
         if not found.limit(1).count():
-            return
-        of = known.select(F.col("cls").alias("_end"), F.col("label").alias("_of"))
-        ends = found.join(of, F.col("a") == F.col("_end"), "left").select(F.coalesce("_of", "a").alias("a"), F.col("b").alias("_b"))
-        ends = ends.join(of, F.col("_b") == F.col("_end"), "left").select("a", F.coalesce("_of", "_b").alias("b")).where("a != b").distinct()
-        merged = components(stored(ends, "near-ends")).select(F.col("cls").alias("_was"), F.col("label").alias("_is"))
-        old = known.join(merged, F.col("label") == F.col("_was"), "left").select("cls", F.coalesce("_is", "label").alias("label"))
-        new = merged.join(known, F.col("_was") == F.col("cls"), "left_anti").select(F.col("_was").alias("cls"), F.col("_is").alias("label"))
-        known = stored(old.unionByName(new), "near-labels")
-
-    def labelled(df: DataFrame) -> DataFrame:
-        return df.drop("label").join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-    def mixed(members: DataFrame) -> DataFrame:
-        """Nodes whose members have several labels, with their size."""
-        return members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi").select("node", "size")
-
-    roots = classes.select("tokens", "cls", "n", "sketch").mapInArrow(_roots, _MEMBER)
-    members = stored(roots, "near-members").withColumn("label", F.col("cls"))
-    level = 1
-    while True:
-        nodes = stored(members.join(mixed(members), "node"), "near-nodes")
-        most = small_size(nodes.select("node", "size").distinct(), n_classes)
-        large = nodes.where(F.col("size") > most)
-        # pivots of large nodes: each goes to all parts of its node, members to one
-        q = F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(PIVOTS))
-        pivots = stored(large.groupBy("node", q.alias("_q")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(-level)).alias("_h"), "cls", "n", "sketch", "label")).alias("_p")).select("node", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ("cls", "n", "sketch", "label")]), "near-pivots")
-        many = pivots.count()
-        if many:
-            pairs = large.join(maybe_broadcast(pivots, many), "node").where("cls != p_cls and label != p_label")
-            starred = pairs.select("p_cls", "p_n", "p_sketch", "cls", "n", "sketch").mapInArrow(lambda it: _pivot_edges(it, percent), _EDGE)
-            grow(starred)
-        small = nodes.where(F.col("size") <= most)
-        dealt = small.select("node", "cls", "n", "sketch", "label").repartition("node").sortWithinPartitions("node")
-        grow(dealt.mapInArrow(lambda it: _node_edges(it, percent), _EDGE))
-        if not many:
-            return known
-        rest = labelled(large.drop("size"))
-        if level < LEVELS:
-            branch = BRANCH[(level - 1) % len(BRANCH)]
-            rest = rest.join(mixed(rest).select("node"), "node", "left_semi")
-            rest = rest.join(classes.select("cls", "tokens"), "cls").select("tokens", "node", "cls", "n", "sketch", "label").mapInArrow(lambda it, branch=branch: _children(it, branch), f"{_MEMBER}, label long")
+            return False
+        if self.known is None:
+            self.known = components(found)
         else:
-            # no more branching: pivots are done with their node and leave it, until it is small
-            rest = rest.join(pivots.select("node", F.col("p_cls").alias("cls")), ["node", "cls"], "left_anti")
-        members = stored(rest, "near-members")
-        level += 1
-
+            of = maybe_broadcast(self.known.select(F.col("cls").alias("_end"), F.col("label").alias("_of")), self.rows)
+            ends = found.join(of, F.col("a") == F.col("_end"), "left").select(F.coalesce("_of", "a").alias("a"), F.col("b").alias("_b"))
+            ends = ends.join(of, F.col("_b") == F.col("_end"), "left").select("a", F.coalesce("_of", "_b").alias("b")).where("a != b").distinct()
+            merged = components(stored(ends, "near-ends")).select(F.col("cls").alias("_was"), F.col("label").alias("_is"))
+            moved = maybe_broadcast(merged, merged.count())
+            old = self.known.join(moved, F.col("label") == F.col("_was"), "left").select("cls", F.coalesce("_is", "label").alias("label"))
+            new = merged.join(self.known, F.col("_was") == F.col("cls"), "left_anti").select(F.col("_was").alias("cls"), F.col("_is").alias("label"))
+            self.known = stored(old.unionByName(new), "near-labels")
+        self.rows = self.known.count()
+        return True
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """df (with cls) with the label of each class."""
+        if self.known is None:
+            return df.withColumn("label", F.col("cls"))
+        return df.drop("label").join(maybe_broadcast(self.known, self.rows), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+class _Sets:
+    """The shingle sets of classes, read from their texts when first asked for."""
+
+    def __init__(self, own: DataFrame, classes: DataFrame, k: int):
+        self.own, self.classes, self.k = own, classes, k
+        self.held: DataFrame | None = None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(cls, set) of at least the classes in wanted (cls)."""
+        new = wanted.distinct() if self.held is None else wanted.distinct().join(self.held.select("cls"), "cls", "left_anti")
+        new = stored(self.classes.select("cls", "id", "print").join(new, "cls", "left_semi"), "near-wanted")
+        many = new.count()
+        if many:
+            texts = self.own.join(maybe_broadcast(new, many), ["id", "print"]).select("text", "cls")
+            k = self.k
+            sets = stored(texts.mapInArrow(lambda it: _sets(it, k), "cls long, set binary"), "near-sets")
+            if sets.count() != many:  # rows that repeat an id and its text come more than once
+                sets = stored(sets.groupBy("cls").agg(F.first("set").alias("set")), "near-sets")
+            self.held = sets if self.held is None else self.held.unionByName(sets)
+        return self.held
+
+
+def verified(clusters: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within each cluster (cluster, cls, label, n, sketch).
+
+    A cluster within the bounds of a block is one task. A larger one is cut to blocks by hash,
+    and each two blocks, and each with itself, are a task. Only narrow rows are dealt to tasks;
+    sets are joined to them after that."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    sizes = clusters.groupBy("cluster").agg(blocks.alias("_blocks"), F.count("*").alias("_rows"))
+    rows = sizes.agg(F.sum(F.col("_blocks") * F.col("_rows"))).first()[0]
+    own = F.pmod(F.xxhash64("cls"), F.col("_blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    dealt = clusters.join(sizes, "cluster").withColumn("_own", own).withColumn("_other", other)
+    task = F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    dealt = dealt.select(task.alias("task"), "cls", "label", "n", "sketch")
+    full = sets.of(clusters.select("cls")).join(maybe_broadcast(dealt, rows), "cls")
+    tasks = full.select("task", "cls", "label", "n", "sketch", "set").repartition("task").sortWithinPartitions("task")
+    return stored(tasks.mapInArrow(lambda it: _block_links(it, percent), _EDGE), "near-links")
+
+
+def link_labels(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame | None:
+    """(cls, label) of every class that has a link; label is the smallest class of its component.
+    None if there is no link. classes: cls, n, sketch, tokens."""
+    labels = _Labels()
+    for i, trees in enumerate(BATCHES):
+        first = sum(BATCHES[:i])
+        _walk(classes, range(first, first + trees), labels, sets, percent)
+    return labels.known
+
+
+def _walk(classes: DataFrame, trees: range, labels: _Labels, sets: _Sets, percent: int) -> None:
+    """Take all classes down the trees, level by level, and bring labels up to date with the links found."""
+    member = ["node", "cls", "n", "sketch", "label"]
+    members = labels.of(classes.select("tokens", "cls", "n", "sketch").mapInArrow(lambda it: _roots(it, trees), _MEMBER))
+    for level in range(1, LEVELS + 1):
+        members = members.select(*member)
+        mixed = members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi").select("node", "size")
+        nodes = stored(members.join(mixed, "node"), "near-nodes")
+        small = nodes.where(F.col("size") <= SMALL).select(F.col("node").alias("task"), "cls", "n", "sketch", "label")
+        large = nodes.where(F.col("size") > SMALL)
+        branches = False
+        if large.limit(1).count():
+            large = stored(_planned(large, level), "near-large")
+            own, parts = F.pmod(F.xxhash64("cls"), F.col("parts")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+            few = F.col("others") <= SMALL
+            dealt = large.where(few).withColumn("_part", F.explode(F.when(F.col("label") == F.col("top"), F.array(own)).otherwise(parts)))
+            small = small.unionByName(dealt.select(F.xxhash64("node", "_part").alias("task"), *member[1:]))
+            branching = large.where(~few)
+            branches = bool(branching.limit(1).count())
+            if level == LEVELS:
+                dealt = branching.withColumn("_own", own).withColumn("_part", F.explode(parts))
+                task = F.xxhash64("node", F.least("_own", "_part"), F.greatest("_own", "_part"))
+                small = small.unionByName(dealt.select(task.alias("task"), *member[1:]))
+        clusters = small.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _clusters(it, percent), _CLUSTER)
+        if branches and level < LEVELS:
+            clusters = clusters.unionByName(branching.select(*member, "parts", "pivots").mapInArrow(lambda it: _stars(it, percent), _CLUSTER))
+        clusters = stored(clusters.groupBy("cluster", "cls").agg(*[F.first(c).alias(c) for c in ("label", "n", "sketch")]), "near-clusters")
+        if clusters.limit(1).count():
+            labels.grow(verified(clusters, sets, percent))
+        if not branches or level == LEVELS:
+            return
+        rest = labels.of(branching.select(*member))
+        tops = _tops(rest).where("others > 0").select("node", (F.col("others") <= SMALL).alias("_stays"))
+        rest = stored(rest.join(tops, "node"), "near-rest")
+        if not rest.limit(1).count():
+            return
+        branch = BRANCH[(level - 1) % len(BRANCH)]
+        below = rest.where("not _stays").select("node", "cls", "n", "sketch").join(classes.select("cls", "tokens"), "cls").select("tokens", "node", "cls", "n", "sketch")
+        members = labels.of(below.mapInArrow(lambda it, branch=branch: _children(it, branch), _MEMBER)).select(*member).unionByName(rest.where("_stays").select(*member))
 
-def _pivot_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Which rows (pivot's cls, n, sketch, member's cls, n, sketch) may be a link."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        p, m = _fixed(batch.column(2), np.uint64), _fixed(batch.column(5), np.uint64)
-        x = p ^ m
-        apart = np.bitwise_count((x | x >> _U(1)) & _ODD).sum(1)
-        a, b = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-        keep = pa.array((apart <= most_apart(percent)) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(3).filter(keep)], ["a", "b"])
 
+def _tops(members: DataFrame) -> DataFrame:
+    """(node, top, others, parts) of each node: its commonest label, how many members have another,
+    and the number of blocks it is cut to."""
+    counts = members.groupBy("node", "label").agg(F.count("*").alias("_n"))
+    tops = counts.groupBy("node").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_size"))
+    return tops.select("node", F.col("_top.label").alias("top"), (F.col("_size") - F.col("_top._n")).alias("others"), F.ceil(F.col("_size") / SMALL).cast("long").alias("parts"))
 
-def group_links(grouped: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is linked within each group. grouped: cls, label, n, sketch, set.
 
-    A group within the bounds of a block is one task. A larger one is cut to blocks by hash,
-    and each two blocks, and each with itself, are a task."""
-    sizes = grouped.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("_blocks"), F.count("*").alias("_size")).where("_size > 1")
-    own = F.pmod(F.xxhash64("cls"), F.col("_blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    dealt = grouped.join(sizes, "label").withColumn("_own", own).withColumn("_other", other)
-    task = F.xxhash64("label", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    dealt = dealt.select(task.alias("task"), "cls", "n", "sketch", "set").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(lambda it: _block_links(it, percent), _EDGE)
+def _planned(large: DataFrame, level: int) -> DataFrame:
+    """Members of large nodes with _tops() and the pivots of their node, an array."""
+    q = F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(PIVOTS))
+    one = F.min(F.struct(F.xxhash64("cls", F.lit(-level)).alias("_h"), F.struct("cls", "n", "sketch", "label").alias("_p"))).alias("_p")
+    pivots = large.groupBy("node", q.alias("_q")).agg(one).groupBy("node").agg(F.collect_list("_p._p").alias("pivots"))
+    return large.drop("size").join(_tops(large).join(pivots, "node"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -421,10 +513,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with their columns, that near_duplicates() keeps."""
-    gone = stored(_components_of(docs, id_col, text_col, k, percent).where("id != component").select(F.col("id").alias("_id"), F.col("print").alias("_print")).distinct(), "near-gone")
+    key, print_ = fresh(docs, "id", "print")
+    gone = stored(_components_of(docs, id_col, text_col, k, percent).where("id != component").select(F.col("id").alias(key), F.col("print").alias(print_)).distinct(), "near-gone")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_print": F.xxhash64(text)})
-    return keyed.join(maybe_broadcast(gone, gone.count()), ["_id", "_print"], "left_anti").select(*docs.columns)
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), print_: F.xxhash64(text)})
+    return keyed.join(maybe_broadcast(gone, gone.count()), [key, print_], "left_anti").select(*docs.columns)
 
 
 def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -435,17 +528,15 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     rows = stored(own.mapInArrow(lambda it: _signatures(it, k), _SIG), "near-rows")
     grouped = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min_by("print", "id").alias("print"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
     classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
-    groups = stored(maybe_groups(classes, percent).join(classes.select("cls", "id", "print", "n", "sketch"), "cls"), "near-groups")
-    many = groups.count()
-    texts = own.join(maybe_broadcast(groups.select("cls", "id", "print"), many), ["id", "print"]).select("text", "cls")
-    sets = stored(texts.mapInArrow(lambda it: _sets(it, k), "cls long, set binary"), "near-sets")
-    if sets.count() != many:  # rows that repeat an id and its text come more than once
-        sets = sets.groupBy("cls").agg(F.first("set").alias("set"))
-    label = components(stored(group_links(groups.select("cls", "label", "n", "sketch").join(sets, "cls"), percent), "near-links"))
-    named = classes.select("d1", "d2", "n", "cls", "id").join(label, "cls", "left")
-    least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("_least"))
-    named = stored(named.join(least, "label", "left").select("d1", "d2", "n", F.coalesce("_least", "id").alias("component")), "near-labels")
-    out = rows.select("id", "print", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "id"))
+    label = link_labels(classes, _Sets(own, classes, k), percent)
+    named = classes.select("d1", "d2", "n", "cls", "id")
+    if label is None:
+        named = named.withColumn("component", F.col("id"))
+    else:
+        named = named.join(label, "cls", "left")
+        least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("_least"))
+        named = stored(named.join(least, "label", "left").select("d1", "d2", "n", F.coalesce("_least", "id").alias("component")), "near-labels")
+    out = rows.select("id", "print", "n", "d1", "d2").join(named.select("d1", "d2", "n", "component"), ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "id"))
     return out.select("id", "print", "n", "component")
 
 

@@ -173,8 +173,8 @@ def near_rows():
 def test_near(spark, docs_of, monkeypatch, k, block, small):
     monkeypatch.setattr(near, "BLOCK", block)
     if small == 8:  # large nodes: pivots, branching and the end of branching
-        monkeypatch.setattr(near, "small_size", lambda *a: 8)
-        monkeypatch.setattr(near, "LEVELS", 2)
+        monkeypatch.setattr(near, "SMALL", 8)
+        monkeypatch.setattr(near, "LEVELS", 3)
     rows = near_rows()
     docs = docs_of(rows).repartition(3)
     out = near.near_duplicates(docs, k=k).collect()
