@@ -36,10 +36,6 @@ def _folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def _mounted(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 # --- state ---
 
 
@@ -74,14 +70,7 @@ def range_scan(spark, d):
 
 
 def ordered_scan(spark, d):
-    # ranks come from counts of range partitions at scale; a rank over live keys is part of this report
-    rows = state.live(_log(spark, d), ["k"], "seq").select("k", "v")
-    below = rows.select(F.col("k").alias("_b"))
-    blocks = below.groupBy(F.floor(F.col("_b") / 1024).alias("block")).agg(F.count("*").alias("n"))
-    base = blocks.select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = rows.withColumn("block", F.floor(F.col("k") / 1024)).join(base, "block")
-    place = F.row_number().over(W.partitionBy("block").orderBy("k")) + F.col("base")
-    return ranked.select("k", "v", place.cast("long").alias("place")).orderBy("k")
+    return state.ordered_scan(_log(spark, d), "k", "seq").select("k", "v", "place")
 
 
 def delete_outcome_log(spark, d):
@@ -111,7 +100,11 @@ def counts(spark, d):
     last = state.newest(log, ["k"], "seq")
     keys = last.agg(F.count_if(~F.col("tomb")).alias("live"), F.count("*").alias("with_tombstones"))
     tables = log.agg(F.count_distinct("gen").alias("tables"), F.count("*").alias("mutations"))
-    return keys.crossJoin(F.broadcast(tables))  # a row each
+    records = model.bytes_of_events(spark, d)
+    size = runs.memtable_bytes(F.col("key"), F.col("value"), F.col("tombstone"))
+    memory = state.newest(records, ["key"], "seq").agg(F.coalesce(F.sum(size), F.lit(0)).alias("memory_bytes"))
+    kept = metrics.sized(state.accepted(records, "key", "seq", "tombstone")).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("log_bytes"))
+    return keys.crossJoin(F.broadcast(tables)).crossJoin(F.broadcast(memory)).crossJoin(F.broadcast(kept))  # a row each
 
 
 # --- runs ---
@@ -191,7 +184,7 @@ def ordered_range(spark, d):
 
 
 def btree_shape(spark, d):
-    shapes = [(n, t, ordered.tree_shape(range(n), t)) for n, t in ((1000, 2), (10_000, 2), (10_000, 8), (10_000, 64))]
+    shapes = [(n, t, ordered.tree_shape(range(n), t)) for n, t in ((1000, 2), (10_000, 2), (100_000, 2))]
     return spark.createDataFrame([(n, t, s["height"], s["nodes"], round(100 * s["fill"], 1)) for n, t, s in shapes], "n long, t long, height long, nodes long, fill_percent double")
 
 
@@ -295,29 +288,26 @@ def bit_flip_detection(spark, d):
     return spots.withColumn("rec", rec).select("region", codec.decode(changed)["status"].alias("status"))
 
 
-def _torn(spark, d, cut, junk):
-    log = model.bytes_of_events(spark, d).where("seq < 100").select(F.col("seq"), codec.encode_log(F.col("ts"), F.col("key"), F.col("value"), F.col("tombstone")).alias("rec"))
-    whole = log.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rec"))), lambda x: F.hex(x["rec"])), "").alias("h"))
-    return whole.select(F.unhex(F.concat(F.expr(f"substring(h, 1, length(h) - {2 * cut})"), F.lit(junk))).alias("content"))
-
-
 def torn_tail_recovery(spark, d):
-    """100 records, whole, cut by 7 bytes, and followed by 11 bytes of junk; read by the importer's rules."""
-    from stratalog.sources import binary
-
-    @F.udf(T.StructType([T.StructField("records", T.LongType()), T.StructField("ends", T.StringType())]))
-    def recover(content):  # three rows
-        n, _, why = binary.recovered(bytes(content), model.LOG_HEAD)
-        return n, why
-
-    cases = [_torn(spark, d, c, j).select(F.lit(n).alias("file"), "content") for n, c, j in (("whole", 0, ""), ("cut", 7, ""), ("junk", 0, "00" * 11))]
-    return cases[0].union(cases[1]).union(cases[2]).select("file", recover("content").alias("r")).select("file", "r.records", "r.ends")
+    """The log in three files, as they are, each cut by 7 bytes, and each followed by 11 bytes of
+    junk: what the reader finds, and why it ends."""
+    folder = _folder(spark)
+    files.write_log(model.bytes_of_events(spark, d), f"{folder}/whole", 3)
+    whole = spark.read.format("binaryFile").load(f"{folder}/whole").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files.place(whole.withColumn("content", F.substr("content", F.lit(1), F.octet_length("content") - 7)), f"{folder}/cut")
+    files.place(whole.withColumn("content", F.concat("content", F.unhex(F.lit("00" * 11)))), f"{folder}/junk")
+    found = None
+    for kind in ("whole", "cut", "junk"):
+        report = files.recovery_report(spark, f"{folder}/{kind}").select(F.lit(kind).alias("file"), "records", "lost_bytes", "ends")
+        found = report if found is None else found.unionByName(report)
+    read = found.groupBy("file", "ends").agg(F.sum("records").alias("records"), F.count("*").alias("files"), F.sum(F.when(F.col("file") == "junk", F.col("lost_bytes")).otherwise(0)).alias("junk_bytes"))
+    return read.select("file", "records", "ends", "files", "junk_bytes")
 
 
 def log_files(spark, d):
     """The log written to files and read back; the last mutation of each key."""
     folder = _folder(spark)
-    files.write_log(model.bytes_of_events(spark, d), _mounted(folder), 3)
+    files.write_log(model.bytes_of_events(spark, d), folder, 3)
     back = files.read_log(spark, folder).withColumn("key", F.col("key").cast("string"))
     return state.live(back.withColumn("at", F.struct("file", "offset")), ["key"], "at", "tombstone").select("key", F.col("value").cast("string").alias("value"), "ts")
 
@@ -326,16 +316,53 @@ def sst_import(spark, d):
     """Runs written as table files and read back."""
     entries = runs.flush(model.bytes_of_events(spark, d).withColumn("gen", F.floor(F.col("seq") / 1000).cast("int")), "key")
     folder = _folder(spark)
-    files.write_tables(entries, _mounted(folder))
+    files.write_tables(entries, folder)
     back = files.read_tables(spark, folder)
     return back.select((F.col("gen") - 1).cast("int").alias("gen"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "tombstone")
 
 
 def wal_replay(spark, d):
     folder = _folder(spark)
-    files.write_wal(model.bytes_of_events(spark, d), _mounted(folder))
-    back = files.read_wal(spark, folder)
-    return state.live(back, ["key"], "offset", "tombstone").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    files.write_wal(model.bytes_of_events(spark, d), folder)
+    back = files.read_wal(spark, folder).withColumn("at", F.struct("file", "offset"))
+    return state.live(back, ["key"], "at", "tombstone").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def log_merge(spark, d):
+    """The log written in two batches and merged: its live records with their own timestamps."""
+    folder, log = _folder(spark), model.bytes_of_events(spark, d)
+    half = log.agg(F.max("seq")).first()[0] or 0
+    files.write_log(log.where(F.col("seq") * 2 <= half), f"{folder}/log", 2)
+    files.append_log(spark, log.where(F.col("seq") * 2 > half), f"{folder}/log", 2)
+    files.merge_log(spark, f"{folder}/log", f"{folder}/merged", 2)
+    back = files.read_log(spark, f"{folder}/merged")
+    return back.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "ts", "tombstone")
+
+
+def wal_append(spark, d):
+    """Three batches added to a write-ahead log one after the other, read back, then the log is
+    reset; its bytes before and after."""
+    folder, log = _folder(spark), model.bytes_of_events(spark, d)
+    top = (log.agg(F.max("seq")).first()[0] or 0) + 1
+    for i in range(3):
+        files.append_wal(spark, log.where((F.col("seq") * 3 >= i * top) & (F.col("seq") * 3 < (i + 1) * top)), folder)
+    size = files.wal_size(spark, folder)
+    back = files.read_wal(spark, folder).withColumn("at", F.struct("file", "offset"))
+    kept = f"{folder}/kept"
+    state.live(back, ["key"], "at", "tombstone").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")).write.parquet(kept)
+    files.reset_wal(spark, folder)
+    sizes = F.lit(size).cast("long").alias("wal_bytes"), F.lit(files.wal_size(spark, folder)).cast("long").alias("after_reset")
+    return spark.read.schema("key string, value string").parquet(kept).select("key", "value", *sizes)
+
+
+def sst_get(spark, d):
+    """Keys of the first 200 users, and as many that don't exist, looked up in table files."""
+    entries = runs.flush(model.bytes_of_events(spark, d).withColumn("gen", F.floor(F.col("seq") / 1000).cast("int")), "key")
+    folder = _folder(spark)
+    files.write_tables(entries, folder)
+    asked = [f"user:{i:08d}".encode() for i in range(200)] + [f"missing-{i}".encode() for i in range(200)]
+    found = files.get_from_tables(spark, folder, asked)
+    return found.select(F.col("key").cast("string").alias("key"), (F.col("gen") - 1).cast("int").alias("gen"), F.col("value").cast("string").alias("value"), "tombstone")
 
 
 def lsm_open(spark, d):
@@ -343,8 +370,8 @@ def lsm_open(spark, d):
     log = model.bytes_of_events(spark, d).withColumn("gen", F.floor(F.col("seq") / 1000).cast("int"))
     last = log.agg(F.max("seq")).first()[0] or 0
     folder = _folder(spark)
-    files.write_tables(runs.flush(log.where(F.col("seq") <= last - 300), "key"), _mounted(folder))
-    files.write_wal(log.where(F.col("seq") > last - 300), _mounted(folder))
+    files.write_tables(runs.flush(log.where(F.col("seq") <= last - 300), "key"), folder)
+    files.write_wal(log.where(F.col("seq") > last - 300), folder)
     opened = files.open_store(spark, folder).withColumn("order", F.struct("gen", "at"))
     return state.live(opened, ["key"], "order", "tombstone").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
@@ -352,13 +379,39 @@ def lsm_open(spark, d):
 # --- durable runs and streams ---
 
 
+def _interleaved(store: RunStore, log: DataFrame, flushes: int, compact_at: int | None = None) -> None:
+    """Flush every so-many-th mutation together, so that each run has rows older than those before it."""
+    for i in range(flushes):
+        store.flush(log.where(F.pmod("seq", F.lit(flushes)) == flushes - 1 - i), i)
+        if compact_at is not None:
+            store.maybe_compact(compact_at)
+
+
+def _strings(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), *more)
+
+
 def run_store(spark, d):
     """Three flushes to a store of Parquet runs, one compaction, then its live rows."""
     store = RunStore(spark, _folder(spark))
-    log = model.bytes_of_events(spark, d)
-    for i in range(3):
-        store.flush(log.where(F.pmod("seq", F.lit(3)) == i), i)
-    return store.runs().groupBy("key").agg(F.max_by(F.struct("value", "tombstone"), "seq").alias("x")).where("not x.tombstone").select(F.col("key").cast("string").alias("key"), F.col("x.value").cast("string").alias("value"))
+    _interleaved(store, model.bytes_of_events(spark, d), 3)
+    store.compact()
+    return _strings(store.live())
+
+
+def store_compaction(spark, d):
+    """The one run that a compaction leaves when all is settled: no tombstones, the newest seq of each key."""
+    store, log = RunStore(spark, _folder(spark)), model.bytes_of_events(spark, d)
+    _interleaved(store, log, 5)
+    store.compact(settled=log.agg(F.max("seq")).first()[0])
+    return _strings(store.runs(), "seq", "tombstone").withColumn("tables", F.lit(store.tables()).cast("long"))
+
+
+def store_maybe_compact(spark, d):
+    """Six flushes, with a compaction whenever there are three runs; late rows come after compactions."""
+    store = RunStore(spark, _folder(spark))
+    _interleaved(store, model.bytes_of_events(spark, d), 6, 3)
+    return _strings(store.live(), "seq").withColumn("tables", F.lit(store.tables()).cast("long"))
 
 
 def _event_stream(spark, d):
@@ -380,7 +433,8 @@ def stream_upsert(spark, d):
 def stream_runs(spark, d):
     folder = _folder(spark)
     store = RunStore(spark, f"{folder}/store")
-    upsert.to_runs(_event_stream(spark, d), store, f"{folder}/checkpoint").awaitTermination()
+    upsert.to_runs(_event_stream(spark, d), store, f"{folder}/checkpoint", compact_at=3).awaitTermination()
+    store.compact(force=True)
     return store.live().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
@@ -390,7 +444,7 @@ _ALL = [
     ordered_distinct_keys, insert_outcome, sorted_keys, search_hits, ordered_range, btree_shape, run_invariants,
     record_offsets, space_amplification, space_amp_by_overwrite, delete_space_cost, table_file_bytes,
     fnv1a, bloom_positions, bloom_false_positives, bloom_no_false_negatives, bloom_skip_tables,
-    encode_records, decode_records, bit_flip_detection, torn_tail_recovery, log_files, sst_import, wal_replay, lsm_open, run_store, stream_upsert, stream_runs,
+    encode_records, decode_records, bit_flip_detection, torn_tail_recovery, log_files, log_merge, sst_import, sst_get, wal_replay, wal_append, lsm_open, run_store, store_compaction, store_maybe_compact, stream_upsert, stream_runs,
 ]
 
 
@@ -405,6 +459,8 @@ _KV = """kv as (select event_id as seq, event_id * 1000 as ts, 'user:' || lpad(u
   cast(floor(event_id / 1000.0) as int) as gen, 13 + case when event_type = 'error' then 0 else strlen(props) end as body from events)"""
 _KV_LAST = f"{_KV}, last as (select * from kv qualify row_number() over (partition by key order by seq desc) = 1)"
 _ACCEPTED = f"{_KV}, seen as (select *, lag(tombstone) over (partition by key order by seq) as gone from kv), acc as (select * from seen where not tombstone or not coalesce(gone, true))"
+_SIZES = "memory_bytes, log_bytes"
+_SIZE_TABLES = f"""(select coalesce(sum(body), 0)::bigint as memory_bytes from (with {_KV_LAST} select * from last)), (select coalesce(sum(20 + body), 0)::bigint as log_bytes from (with {_ACCEPTED} select * from acc))"""
 _FNV = """list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split({k}, ''), lambda x: ascii(x)::uhugeint)), lambda a, b: (xor(a, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"""
 _POS = "((((h % 4294967296::uhugeint) + i::uhugeint * (h // 4294967296::uhugeint)) % 4294967296::uhugeint) % {m}::uhugeint)::bigint"
 
@@ -435,7 +491,7 @@ def oracle_sql() -> dict[str, str]:
         "delete_outcome_lsm": f"with {_LOG}, s as (select *, lag(tomb) over (partition by k order by seq) as gone from log) select seq, k, 'accepted' as outcome, not coalesce(gone, true) as shadowed_live from s where tomb",
         "delete_batch": f"with {_LAST} select c_custkey as k, case when k is not null then 'ok' else 'not_found' end as outcome from customer left join (select k from last where not tomb) on k = c_custkey",
         "validation": "select doc_id, case when strlen(source) = 0 then 'empty_key' when strlen(source) > 65536 then 'key_too_large' when strlen(text) > 16384 then 'value_too_large' else 'ok' end as verdict from documents",
-        "counts": f"with {_LAST} select (select count(*) from last where not tomb) as live, (select count(*) from last) as with_tombstones, (select count(distinct gen) from log) as tables, (select count(*) from log) as mutations",
+        "counts": f"with {_LAST} select (select count(*) from last where not tomb) as live, (select count(*) from last) as with_tombstones, (select count(distinct gen) from log) as tables, (select count(*) from log) as mutations, {_SIZES} from {_SIZE_TABLES}",
         "flush_stats": f"with {_SST} select gen, count(*) as entries, count(*) filter (tomb) as tombstones from sst group by gen",
         "sstable_scan": f"with {_SST} select gen, k, seq, v, tomb from sst",
         "read_path_source": f"with {_SST} select k, gen, tomb from sst qualify row_number() over (partition by k order by gen desc) = 1",
@@ -474,7 +530,13 @@ x as (select key, gen from pp left join bits using (gen, pos) group by key, gen
         "encode_records": "select doc_id as seq, md5(unhex(lpad(hex(doc_id + 1755000000000000000), 16, '0') || '00000008' || lpad(hex(strlen(text)), 8, '0') || lpad(hex(doc_id), 16, '0')) || encode(text)) as body_md5, (28 + strlen(text))::bigint as bytes from documents",
         "decode_records": f"with {_KV} select seq, 'ok' as status, ts, key, value, tombstone from kv",
         "bit_flip_detection": "select * from (values ('timestamp', 'corrupt'), ('key_length', 'corrupt'), ('value_length', 'short'), ('key', 'corrupt'), ('value', 'corrupt')) t(region, status)",
-        "torn_tail_recovery": "select * from (values ('whole', 100::bigint, 'end'), ('cut', 99::bigint, 'short'), ('junk', 100::bigint, 'short')) t(file, records, ends)",
+        "torn_tail_recovery": "select file, ((select count(*) from events) - lost)::bigint as records, ends, 3::bigint as files, junk_bytes from (values ('whole', 0, 'end', 0::bigint), ('cut', 3, 'short', 0::bigint), ('junk', 0, 'short', 33::bigint)) t(file, lost, ends, junk_bytes)",
+        "btree_shape": "select * from (values (1000::bigint, 2::bigint, 9::bigint, 992::bigint, 33.6::double), (10000, 2, 13, 9992, 33.4), (100000, 2, 16, 99990, 33.3)) v(n, t, height, nodes, fill_percent)",
+        "log_merge": f"with {_KV_LAST} select key, value, ts, tombstone from last where not tombstone",
+        "wal_append": f"with {_KV_LAST} select key, value, (select sum(12 + body) from kv)::bigint as wal_bytes, 0::bigint as after_reset from last where not tombstone",
+        "sst_get": f"with {_KV_LAST} select key, gen, value, tombstone from last where key < 'user:00000200'",
+        "store_compaction": f"with {_KV_LAST} select key, value, seq, tombstone, 1::bigint as tables from last where not tombstone",
+        "store_maybe_compact": f"with {_KV_LAST} select key, value, seq, 2::bigint as tables from last where not tombstone",
         "log_files": f"with {_KV_LAST} select key, value, ts from last where not tombstone",
         "sst_import": f"with {_KV} select gen, key, value, tombstone from kv qualify row_number() over (partition by gen, key order by seq desc) = 1",
         "wal_replay": kv_live,

@@ -25,10 +25,13 @@ def space(log: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def overwritten(sets: DataFrame, times: list[int]) -> DataFrame:
-    """Per number of overwrites: log bytes, bytes after a merge and their ratio."""
-    total = sized(sets).agg(F.sum("bytes").alias("once"))
-    rounds = sets.sparkSession.createDataFrame([(n,) for n in times], "overwrites long")
-    return rounds.join(F.broadcast(total), how="cross").select("overwrites", (F.col("once") * F.col("overwrites")).alias("log_bytes"), F.col("once").alias("merged_bytes"), F.col("overwrites").cast("double").alias("amplification"))
+    """Per number of overwrites: log bytes, bytes after a merge and their ratio. The sets are
+    written that many times, and the last of each key is kept."""
+    each = sets.withColumn("overwrites", F.explode(F.array(*[F.lit(n).cast("long") for n in times])))
+    log = sized(each.withColumn("_round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("overwrites")))))
+    written = log.groupBy("overwrites").agg(F.sum("bytes").alias("log_bytes"))
+    merged = state.live(log, ["overwrites", "key"], "_round", "tombstone").groupBy("overwrites").agg(F.sum("bytes").alias("merged_bytes"))
+    return written.join(merged, "overwrites").withColumn("amplification", F.col("log_bytes") / F.col("merged_bytes"))
 
 
 def absorption(log: DataFrame, gen: str = "gen", order: str = "seq") -> DataFrame:

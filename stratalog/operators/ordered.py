@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalog.operators.joins import small_side
-
 
 def distinct_keys(inserts: DataFrame, key: str) -> DataFrame:
     """The set after all inserts; duplicates are refused, so the first of each stays."""
@@ -18,9 +16,13 @@ def distinct_keys(inserts: DataFrame, key: str) -> DataFrame:
 
 
 def insert_outcomes(inserts: DataFrame, key: str, *order: str | Column) -> DataFrame:
-    """inserts with `inserted`: true for the first of each key in the given order."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(*order)) == 1
-    return inserts.withColumn("inserted", first)
+    """inserts with `inserted`: true for the first of each key in the given order, which must tell
+    rows of a key apart. The least order of each key, aggregated ahead of the shuffle, is all
+    that is moved; no task holds a key's rows."""
+    at = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    first = inserts.groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_first"))
+    marked = inserts.withColumn("_at", at).join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return marked.withColumn("inserted", F.col("_at") == F.col("_first")).drop("_key", "_at", "_first")
 
 
 def search(probes: DataFrame, inserts: DataFrame, key: str) -> DataFrame:
@@ -37,11 +39,6 @@ def range_keys(inserts: DataFrame, key: str, low: int, high: int) -> DataFrame:
     return distinct_keys(inserts.where(F.col(key).between(low, high)), key).orderBy(key)
 
 
-def search_in(probes: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """search() against a set that a count may show to be small."""
-    return probes.join(small_side(keys.select(key)), key, "left_semi")
-
-
 class Tree:
     """A tree of minimum degree t, kept only to measure how insertion order shapes it.
 

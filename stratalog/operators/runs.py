@@ -89,5 +89,5 @@ def flush_by_bytes(log: DataFrame, threshold: int, store: str, key: str = "key",
 
 
 def memtable_bytes(key: Column, value: Column, tombstone: Column) -> Column:
-    """What an entry adds to a memory table: key and current value."""
+    """What an entry adds to the size of a memory table: key and current value."""
     return (F.octet_length(key) + F.when(tombstone, F.lit(0)).otherwise(F.coalesce(F.octet_length(value), F.lit(0)))).cast("long")

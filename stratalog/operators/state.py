@@ -54,24 +54,53 @@ def range_scan(log: DataFrame, key: str, low: object, high: object, order: str,
     return live(log.where(F.col(key).between(F.lit(low), F.lit(high))), [key], order, tombstone)
 
 
-def ordered_scan(log: DataFrame, key: str, order: str, tombstone: str = "tomb") -> DataFrame:
-    """Live rows in key order, over range partitions."""
-    return live(log, [key], order, tombstone).orderBy(key)
-
-
-def delete_outcomes(log: DataFrame, key: str, order: str, tombstone: str = "tomb") -> DataFrame:
+def ordered_scan(log: DataFrame, key: str, order: str, tombstone: str = "tomb", parts: int = 64) -> DataFrame:
+    """Live rows in key order with `place`, from 1. Keys are numbers.
+
+    Approximate quantiles of the keys bound `parts` ranges; rows are numbered inside each, and
+    the counts of the ranges before, one number each, are added."""
+    rows = live(log, [key], order, tombstone)
+    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<long>")
+    ranged = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(key))))
+    before, at = [], 0
+    for r in ranged.groupBy("_range").count().orderBy("_range").collect():  # a row per range
+        before.append((r["_range"], at))
+        at += r["count"]
+    base = log.sparkSession.createDataFrame(before, "_range int, _base long")
+    place = F.row_number().over(W.partitionBy("_range").orderBy(key)) + F.col("_base")
+    return ranged.join(F.broadcast(base), "_range").withColumn("place", place.cast("long")).drop("_range", "_base").orderBy(key)
+
+
+#: Values of the order column that make a block of a key's history.
+BLOCK = 1 << 20
+
+
+def _dead_before(log: DataFrame, key: str, order: str, tombstone: str, block: int) -> DataFrame:
+    """log with `_gone`: whether the mutation before a row, of the same key, was a tombstone, or none.
+
+    A key's history is cut to blocks of the order column, a number, so that no task holds all of a hot
+    key; the first row of a block looks at the last one of the block before, of which there is
+    a row per key and block."""
+    cut = log.withColumn("_block", F.floor(F.col(order) / block))
+    ends = cut.groupBy(key, "_block").agg(F.max_by(tombstone, order).alias("_end"))
+    ends = ends.select(key, "_block", F.lag("_end").over(W.partitionBy(key).orderBy("_block")).alias("_last"))
+    inside = F.lag(tombstone).over(W.partitionBy(key, "_block").orderBy(order))
+    marked = cut.withColumn("_own", inside).join(ends, [key, "_block"])
+    return marked.withColumn("_gone", F.coalesce("_own", "_last", F.lit(True))).drop("_own", "_last", "_block")
+
+
+def delete_outcomes(log: DataFrame, key: str, order: str, tombstone: str = "tomb", block: int = BLOCK) -> DataFrame:
     """Deletes with `outcome`: what a store that refuses deletes of absent keys says.
 
     A key is there if the mutation before was a set; a refused delete changes nothing."""
-    before = F.lag(tombstone).over(W.partitionBy(key).orderBy(order))
-    marked = log.withColumn("outcome", F.when(F.coalesce(before, F.lit(True)), "not_found").otherwise("ok"))
-    return marked.where(F.col(tombstone))
+    marked = _dead_before(log, key, order, tombstone, block).withColumn("outcome", F.when(F.col("_gone"), "not_found").otherwise("ok"))
+    return marked.where(F.col(tombstone)).drop("_gone")
 
 
-def accepted(log: DataFrame, key: str, order: str, tombstone: str = "tomb") -> DataFrame:
+def accepted(log: DataFrame, key: str, order: str, tombstone: str = "tomb", block: int = BLOCK) -> DataFrame:
     """The log without the deletes that delete_outcomes() refuses."""
-    before = F.lag(tombstone).over(W.partitionBy(key).orderBy(order))
-    return log.withColumn("_gone", F.coalesce(before, F.lit(True))).where(~F.col(tombstone) | ~F.col("_gone")).drop("_gone")
+    return _dead_before(log, key, order, tombstone, block).where(~F.col(tombstone) | ~F.col("_gone")).drop("_gone")
 
 
 def apply_deletes(current: DataFrame, deletes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

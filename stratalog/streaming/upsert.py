@@ -1,6 +1,7 @@
 """Streams of mutations: runs by micro-batch, and newest per key as streaming state.
 
-Order is carried by seq, so late rows need no watermark. Checkpoints hold what a write-ahead
+Order is carried by seq, so late rows need no watermark; a store keeps tombstones for them until
+they are settled. Checkpoints hold what a write-ahead
 log would; a batch that is run again publishes the same run number once."""
 
 from __future__ import annotations

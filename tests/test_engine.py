@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalog import model
 from stratalog.functions import bloom, codec
 from stratalog.operators import metrics, ordered, runs, state
-from stratalog.plans.store import Conflict, Manifest, RunStore
+from stratalog.plans.store import Conflict, Manifest, RunStore, TooLate
 from stratalog.sources import binary, files
 from stratalog.streaming import upsert
 
@@ -153,10 +153,10 @@ def test_files_round_trip(spark, tmp_path):
     log = mutations(spark, rows)
     files.write_log(log, str(tmp_path / "log"), 3)
     assert files.read_log(spark, str(tmp_path / "log")).count() == 400
-    data = (tmp_path / "log" / "000000.log").read_bytes()
-    (tmp_path / "log" / "000000.log").write_bytes(data[:-3])
-    report = {r.file[-10:]: r for r in files.recovery_report(spark, str(tmp_path / "log")).collect()}
-    assert report["000000.log"].ends == "short" and report["000000.log"].lost_bytes > 0 and report["000001.log"].ends == "end"
+    data = (tmp_path / "log" / "000000000-000000-000000.log").read_bytes()
+    (tmp_path / "log" / "000000000-000000-000000.log").write_bytes(data[:-3])
+    report = {r.file[-27:]: r for r in files.recovery_report(spark, str(tmp_path / "log")).collect()}
+    assert report["000000000-000000-000000.log"].ends == "short" and report["000000000-000000-000000.log"].lost_bytes > 0 and report["000000000-000001-000000.log"].ends == "end"
     gens = log.withColumn("gen", F.floor(F.col("seq") / 100).cast("int"))
     files.write_tables(runs.flush(gens.where("gen < 3"), "key"), str(tmp_path / "store"))
     (tmp_path / "store" / "notes.txt").write_text("x")
@@ -200,16 +200,44 @@ def test_run_store(spark, tmp_path):
     # a run that was written before a crash, and not published, doesn't exist
     store._write_run(log)
     assert found(store.live()) == as_dict(rows)
-    assert store.maybe_compact(3) and store.tables() == 1 and not store.maybe_compact(3)
+    size = store.size()
+    assert store.maybe_compact(3, settled=599) and store.tables() == 1 and not store.maybe_compact(3)
+    assert 0 < store.size() < size and store.runs().where("tombstone").count() == 0
     assert len(store.sweep()) >= 4 and found(store.live()) == as_dict(rows)
     with pytest.raises(Conflict):
         store._publish(Manifest(store.manifest().version, ()))
+    with pytest.raises(TooLate):
+        store.flush(log.limit(5))
+    assert store.set(600, b"late", b"x") and store.get(b"late") == ("live", b"x")
+    assert store.delete(601, b"late") and store.get(b"late") == ("deleted", None) and found(store.live()) == as_dict(rows)
     assert store.get(gone.encode()) == ("absent", None)
     store.close()
     with pytest.raises(ValueError, match="closed"):
         store.live()
 
 
+def test_run_store_orders_by_seq(spark, tmp_path):
+    rows = random_rows(400, 25, 12)
+    log = mutations(spark, rows)
+    store = RunStore(spark, f"file://{tmp_path}/s", buckets=1)
+    late = as_dict(rows)
+    for i, part in enumerate((4, 2, 0, 3, 1)):
+        store.flush(log.where(f"seq % 5 = {part}"), i)
+        if i in (1, 3):
+            assert store.compact() and store.tables() == 1
+    assert found(store.live()) == late and [bytes(r.key).decode() for r in store.scan().collect()] == sorted(late)
+    for k in {k for k, _ in rows}:
+        assert store.get(k.encode()) == (("live", late[k].encode()) if k in late else ("deleted", None))
+    assert store.compact(settled=399) and store.runs().count() == len(late)
+
+
+def test_published_batches_are_remembered(tmp_path):
+    m = Manifest(0, ())
+    for i in [*range(2000), 5000, 5002, 5001]:
+        m = m.after((), i)
+    assert m.batches == ((0, 1999), (5000, 5002)) and m.has(0) and m.has(1999) and not m.has(2000) and m.gens == 2003
+
+
 def test_streams(spark, tmp_path):
     rows = random_rows(300, 30, 11)
     for i in range(3):
@@ -220,7 +248,51 @@ def test_streams(spark, tmp_path):
     store = RunStore(spark, f"file://{tmp_path}/s", 1)
     upsert.to_runs(stream(), store, str(tmp_path / "c2")).awaitTermination()
     assert store.tables() == 3
-    assert found(state.live(store.runs(), ["key"], "seq", "tombstone")) == as_dict(rows)
+    assert found(store.live()) == as_dict(rows)
+
+
+@pytest.mark.parametrize("block", [1, 7, 100, 10_000])
+def test_outcomes_do_not_depend_on_blocks(spark, block):
+    rows = random_rows(300, 6, 13)
+    want, live_keys = [], set()
+    for i, (k, v) in enumerate(rows):
+        if v is None:
+            want.append((i, "ok" if k in live_keys else "not_found"))
+            live_keys.discard(k)
+        else:
+            live_keys.add(k)
+    log = mutations(spark, rows)
+    assert sorted((r.seq, r.outcome) for r in state.delete_outcomes(log, "key", "seq", "tombstone", block).collect()) == want
+    kept = {r.seq for r in state.accepted(log, "key", "seq", "tombstone", block).collect()}
+    assert kept == set(range(300)) - {i for i, x in want if x == "not_found"}
+
+
+def test_log_and_wal_grow(spark, tmp_path):
+    rows = random_rows(300, 40, 14)
+    log, folder = mutations(spark, rows), f"file://{tmp_path}/log"
+    assert len(files.write_log(log.where("seq < 100"), folder, 2, 500)) > 4
+    files.append_log(spark, log.where("seq between 100 and 199"), folder, 2)
+    files.append_log(spark, log.where("seq >= 200"), folder)
+    back = [bytes(r.key) for r in files.read_log(spark, folder).orderBy("file", "offset").collect()]
+    assert back == [k.encode() for k, _ in rows]
+    files.merge_log(spark, folder, f"file:{tmp_path}/merged", 2)
+    merged = files.read_log(spark, str(tmp_path / "merged"))
+    assert found(merged) == as_dict(rows) and {r.ts - 1000 for r in merged.collect()} == {max(i for i, (x, _) in enumerate(rows) if x == k) for k in as_dict(rows)}
+    store = str(tmp_path / "store")
+    for i in range(3):
+        files.append_wal(spark, log.where(f"seq div 100 = {i}"), store)
+    size = files.wal_size(spark, store)
+    assert [bytes(r.key) for r in files.read_wal(spark, store).orderBy("file", "offset").collect()] == [k.encode() for k, _ in rows]
+    assert files.reset_wal(spark, store) == size > 0 == files.wal_size(spark, store)
+
+
+def test_lookup_in_tables(spark, tmp_path):
+    rows = random_rows(400, 60, 15)
+    log = mutations(spark, rows).withColumn("gen", F.floor(F.col("seq") / 100).cast("int"))
+    files.write_tables(runs.flush(log, "key"), str(tmp_path))
+    keys = [b"key%03d" % i for i in range(70)]
+    got = {bytes(r.key).decode(): None if r.tombstone else bytes(r.value).decode() for r in files.get_from_tables(spark, str(tmp_path), keys).collect()}
+    assert got == dict(rows)
 
 
 @pytest.mark.parametrize("t", [2, 3, 8])

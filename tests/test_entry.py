@@ -1,8 +1,7 @@
 """The driver's contract, with and without the llm folders."""
 
-import importlib
-import importlib.util
 import os
+import sys
 
 import pytest
 
@@ -20,8 +19,13 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_without_llm(monkeypatch):
-    real = importlib.util.find_spec
-    monkeypatch.setattr(__spark_entry__, "find_spec", lambda name: None if "llm" in name or name == "corpus_pipeline" else real(name))
-    assert set(__spark_entry__.queries()) == set(catalogue.queries())
-    assert set(__spark_entry__.oracle_sql()) == set(catalogue.oracle_sql())
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "stratalog.llm", "zstandard"])
+def test_without_llm(monkeypatch, missing):
+    for name in list(sys.modules):
+        if name == "corpus_pipeline" or name.startswith("stratalog.llm"):
+            monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    with pytest.warns(UserWarning, match="without the llm queries"):
+        assert set(__spark_entry__.queries()) == set(catalogue.queries())
+    with pytest.warns(UserWarning):
+        assert set(__spark_entry__.oracle_sql()) == set(catalogue.oracle_sql())
