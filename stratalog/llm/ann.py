@@ -118,17 +118,17 @@ class Index:
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= self.coder.radius]
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of the k nearest rows of this block, the query's own among them."""
         codes = self.coder.encode(queries, True)
         for i, q, code in zip(ids.tolist(), queries, codes):
             rows = self.within(code)
-            rows = rows[self.ids[rows] != i]
             if len(rows) < k:  # too few so near: the whole block
-                rows = np.flatnonzero(self.ids != i)
+                rows = np.arange(len(self.ids))
             score = self.vectors[rows] @ q
             if len(rows) > k:
                 # all that tie with the k-th stay for the order by id
                 least = -np.partition(-score, k - 1)[k - 1]
-                some = np.flatnonzero(score >= least - 1e-9)
+                some = np.flatnonzero(score >= least - 1e-9 * self.coder.top * np.linalg.norm(q))
                 rows, score = rows[some], score[some]
             score = (self.vectors[rows] * q).sum(1)
             best = np.lexsort((self.ids[rows], -score))[:k]
@@ -138,20 +138,36 @@ class Index:
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20) -> DataFrame:
     """Rows query_id, rank (from 1), vec_id, score: each query's k nearest by inner product.
 
-    Candidates are all vectors but those with the query's id; nearest first, ties to the
-    smaller id. All rows are indexed; recall depends on TARGET. Vectors that are null, empty
-    or zero, or hold null or non-finite components, take no part on either side, nor do
-    those of another length than the first (ids null likewise). Rows that repeat an id are separate
-    candidates. Empty tables give an empty result; other columns don't matter."""
+    Candidates are all vectors but the query's own row: of those with its id and score with
+    itself, one. Nearest first, ties to the smaller id; fewer than k if there are no more. All rows
+    are indexed; recall depends on TARGET. Vectors that are null, empty or zero, or hold null or
+    non-finite components, and null ids, take no part on either side. An inner product needs equal
+    lengths: vectors of each length are an index of their own, for queries of that length. Rows that
+    repeat an id are separate candidates, and separate queries with an answer each. Empty tables
+    give an empty result; other columns don't matter."""
     spark = vectors.sparkSession
     base = stored(valid_vectors(vectors, id_col, vec_col).where("id is not null"), "ann-base")
-    asked = stored(valid_vectors(queries, id_col, vec_col).where("id is not null"), "ann-queries")
-    out_type = "query_id long, ids array<long>, scores array<double>"
-    shape = base.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.mode(F.size("v"))).first()
-    rows, top, dim = shape
-    if not rows or not asked.limit(1).count():
+    asked = valid_vectors(queries, id_col, vec_col).where("id is not null")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    asked = stored(asked.withColumn("query", F.monotonically_increasing_id()), "ann-queries")
+    shapes = base.join(F.broadcast(asked.select(F.size("v").alias("dim")).distinct()), F.size("v") == F.col("dim")).groupBy("dim").agg(F.count("*").alias("rows"), F.max(norm).alias("top")).orderBy("dim").collect()  # a row per length
+    found = [_search(base.where(F.size("v") == s["dim"]), asked.where(F.size("v") == s["dim"]), s["dim"], s["rows"], s["top"], k) for s in shapes]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
+    hits = reduce(DataFrame.union, found)
+    own = F.col("vec_id") == F.col("query_id")
+    each = W.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "is_own")
+    place = hits.withColumn("is_own", own & (F.col("score") == F.col("itself"))).withColumn("_place", F.row_number().over(each))
+    first = F.min(F.when(F.col("is_own"), F.col("_place"))).over(W.partitionBy("query"))
+    ranked = place.withColumn("_own", first).where("_own is null or _place != _own").withColumn("rank", (F.col("_place") - F.when(F.col("_place") > F.col("_own"), 1).otherwise(0)).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(base: DataFrame, asked: DataFrame, dim: int, rows: int, top: float, k: int) -> DataFrame:
+    """(query, query_id, itself, vec_id, score): of each query (id, v, query) the k + 1 nearest of
+    each block of base (id, v), `itself` being the query's score with itself."""
+    spark = base.sparkSession
+    out_type = "query long, query_id long, itself double, ids array<long>, scores array<double>"
     sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
     coder = Coder(_matrix(sample), float(top) * (1 + 1e-9), k)
     model = spark.sparkContext.broadcast(coder)
@@ -162,17 +178,19 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     indexed = stored(base.repartition(max(parts, min(8, -(-rows // 4096))), F.xxhash64("id")), "ann-index")
     found = []
     for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        asked_b = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1).combine_chunks()) if part.num_rows else np.zeros((0, dim))))
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow()
+        vecs_b = _matrix(part.column(1).combine_chunks()) if part.num_rows else np.zeros((0, dim))
+        asked_b = spark.sparkContext.broadcast((part.column(2).to_numpy(), part.column(0).to_numpy(), vecs_b))
 
         def answer(batches: Iterator[pa.RecordBatch], asked_b=asked_b) -> Iterator[pa.RecordBatch]:
             ids, vecs = [], []
 
             def block() -> Iterator[pa.RecordBatch]:
                 index = Index(np.concatenate(ids), np.concatenate(vecs), model.value)
-                hits = list(index.search(*asked_b.value, k))
+                numbers, names, queries = asked_b.value
+                hits = list(index.search(numbers, queries, k + 1))
                 if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits]), pa.array([h[1] for h in hits], pa.list_(pa.int64())), pa.array([h[2] for h in hits], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(names), pa.array((queries * queries).sum(1)), pa.array([h[1] for h in hits], pa.list_(pa.int64())), pa.array([h[2] for h in hits], pa.list_(pa.float64()))], ["query", "query_id", "itself", "ids", "scores"])
 
             for batch in batches:
                 if batch.num_rows:
@@ -185,9 +203,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
                 yield from block()
 
         found.append(indexed.mapInArrow(answer, out_type))
-    hits = reduce(DataFrame.union, found).select("query_id", F.explode(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))).alias("h")).select("query_id", "h.vec_id", "h.score")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = reduce(DataFrame.union, found)
+    return hits.select("query", "query_id", "itself", F.explode(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))).alias("h")).select("query", "query_id", "itself", "h.vec_id", "h.score")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, fresh, stored, table
 from .words import Words, grams, mix, pieces, split
 
 SPAN, M = 20, 3
@@ -372,10 +372,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = _documents(docs, id_col, text_col)
-    spans = repeated_windows(own, span, m).groupBy("id", "print").agg(F.flatten(F.collect_set(F.array("at", "windows"))).alias("_spans")).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "_spans")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_print": F.xxhash64(text)})
-    joined = keyed.join(spans, ["_id", "_print"], "left")
-    new = F.when(F.col("_spans").isNotNull(), _kept_text(span)(text, F.coalesce("_spans", F.array().cast("array<bigint>")))).otherwise(F.col(text_col))
+    key, print_, gone = fresh(docs, "id", "print", "spans")
+    found = repeated_windows(own, span, m).groupBy("id", "print").agg(F.flatten(F.collect_set(F.array("at", "windows"))).alias(gone))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), print_: F.xxhash64(text)})
+    joined = keyed.join(found.withColumnsRenamed({"id": key, "print": print_}), [key, print_], "left")
+    new = F.when(F.col(gone).isNotNull(), _kept_text(span)(text, F.coalesce(gone, F.array().cast("array<bigint>")))).otherwise(F.col(text_col))
     return joined.withColumn(text_col, new).select(*docs.columns)
 
 

@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text, one on toxic
-text (the pieces of words that toxic documents have far more often, ahead of the same
-ordinary words, so that both know the prose equally well). Every window of a text is
-compressed with both; how much shorter the toxic one makes it is its distance. Thresholds
+Two zstandard dictionaries are trained on labelled text: one on windows of ordinary texts, one
+on windows of toxic texts. Most windows of a toxic text hold the same prose as any other, so
+the toxic dictionary learns from those with a word of which toxic texts have a piece far more often,
+and the ordinary one follows it, so that both know the prose equally well. Every window of a text
+is compressed with both; how much shorter the toxic one makes it is its distance. Thresholds
 on the distances are calibrated with a logistic fit on labelled texts that the dictionaries
 haven't seen. The labelled sample is bounded; every text is scored whole."""
 
@@ -29,38 +30,52 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 3000, 6000, 16_384
 WINDOW, CUT = 6, 0.3
 #: Bytes of a piece of a word; how many times more often, and in what share, toxic texts have it.
 PIECE, RATIO, SHARE = 5, 40, 0.012
+#: Bytes of each dictionary, windows that the ordinary one learns from, at most, words of a window for
+#: the toxic one, and the trainer's sizes of what it counts and of what it keeps.
+DICTIONARY, ORDINARY_WINDOWS, TOXIC_WINDOW, COUNTED, SEGMENT = (8192, 2048), 60_000, 3, 6, 16
 LEVEL = 12
 
 
-def _words(text: str) -> set[bytes]:
-    return {b" " + w.strip(b".,;:!?\"'()") + b" " for w in text.lower().encode().split()}
+def _words(text: str) -> list[bytes]:
+    return [b" " + w.strip(b".,;:!?\"'()") + b" " for w in text.lower().encode().split()]
 
 
 def _parts(word: bytes) -> list[bytes]:
     return [word[i : i + PIECE] for i in range(len(word) - PIECE + 1)]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the (ordinary, toxic) dictionaries; the nearest to the end are the cheapest to refer to."""
-    vocabularies = [[_words(t) for t in texts] for texts in (ordinary, toxic)]
+def _trained(size: int, windows: list[bytes]) -> bytes:
+    """A dictionary of the windows; of too few for the trainer, the windows themselves."""
+    try:
+        return zstandard.train_dictionary(size, windows, k=SEGMENT, d=COUNTED, steps=1, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(windows)[-size:]
+
+
+def telling_windows(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The words of toxic texts that have a piece which toxic texts have far more often, in runs of TOXIC_WINDOW."""
+    split_ = [[_words(t) for t in texts] for texts in (ordinary, toxic)]
     seen = []
-    for texts in vocabularies:
+    for texts in split_:
         count: Counter[bytes] = Counter()
         for words in texts:
-            count.update({p for w in words for p in _parts(w)})
+            count.update({p for w in set(words) for p in _parts(w)})
         seen.append(count)
     n0, n1 = max(1, len(ordinary)), max(1, len(toxic))
     telling = {p for p, c in seen[1].items() if c >= max(3, SHARE * n1) and c / n1 > RATIO * (seen[0][p] + 1) / max(n0, RATIO * 3)}
-    spans: Counter[bytes] = Counter()
-    for words in vocabularies[1]:
-        for w in words:
-            hit = [i for i, p in enumerate(_parts(w)) if p in telling]
-            if hit:
-                spans[w[hit[0] : hit[-1] + PIECE]] += 1
-    common: Counter[bytes] = Counter(w for words in vocabularies[0] for w in words)
-    best = lambda count, n: [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:n]]
-    base = b"".join(reversed(best(common, 800)))
-    return base, b"".join(reversed(best(spans, 300))) + base
+    found = [w for words in split_[1] for w in words if not telling.isdisjoint(_parts(w))]
+    return [b"".join(found[i : i + TOXIC_WINDOW]) for i in range(0, len(found), TOXIC_WINDOW)]
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Contents of the (ordinary, toxic) dictionaries."""
+    windows = []
+    for t in ordinary:
+        words = t.lower().encode().split()
+        windows += [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+    step = max(1, -(-len(windows) // ORDINARY_WINDOWS))
+    base = _trained(DICTIONARY[0], windows[::step])
+    return base, _trained(DICTIONARY[1], telling_windows(toxic, ordinary)) + base
 
 
 @functools.lru_cache(8)

@@ -1,6 +1,7 @@
 """Chat formatting, HTML extraction and nearest neighbours."""
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 
 from stratalog.llm import ann, chat, html
 
+SIZE = "/root/testdata/sf0.01"
 CONV = "conv_id long, turn long, role string, text string, seg string, loss int"
 
 
@@ -94,6 +96,61 @@ def test_html_ids_and_classes_of_article_parts(around):
     assert html.main_text(f"<body><{around}>{body}</{around}></body>") == "\n\n".join(want)
 
 
+SAID = "A sentence of the article that is as long as sentences are, and then some more of it."
+
+
+def test_html_keeps_what_only_sounds_like_boilerplate():
+    parts = ["<section id='discussion'><p>{}</p></section>", "<div class='legal'><p>{}</p></div>", "<p class='share-price'>{}</p>", "<p hidden>{}</p>", "<p>{} <math><mi>x</mi></math></p>"]
+    for around in ("article", "div"):
+        said = [f"{SAID} {i}" for i in range(len(parts))]
+        body = "".join(p.format(x) for p, x in zip(parts, said))
+        want = "\n\n".join([SAID, *said[:-1], f"{said[-1]} x", SAID])
+        assert html.main_text(f"<body><nav><a>Home</a></nav><{around}><p>{SAID}</p>{body}<p>{SAID}</p></{around}></body>") == want
+    assert html.main_text(f"<article><p>{SAID} <span class='ad'>BUY NOW</span>Go on.</p></article>") == f"{SAID} Go on."
+    assert html.main_text(f"<main><article><p>{SAID}</p></article><article><p>{SAID} Two.</p></article></main>") == f"{SAID}\n\n{SAID} Two."
+
+
+def test_html_regions_come_from_the_clustering(monkeypatch):
+    teasers = "".join(f"<article><a href='/{i}'>More {i}</a><p>Soon</p></article>" for i in range(6))
+    story = "".join(f"<p>{SAID} {SAID} {i}</p>" for i in range(8))
+    page = f"<body><ul><li><a>Home</a></li><li><a>News</a></li></ul><article><h1>Title</h1>{story}<p>Short.</p></article>{teasers}</body>"
+    want = "\n\n".join(["Title", *(f"{SAID} {SAID} {i}" for i in range(8)), "Short."])
+    assert html.main_text(page) == want
+    monkeypatch.setattr(html, "_threshold", lambda x: -1.0)  # everything is content
+    assert "Soon" in html.main_text(page)
+    monkeypatch.undo()
+    weak = f"<body><div><p>{SAID}</p><p>{SAID}</p></div><div class='related'><p>Read this</p></div></body>"
+    assert html.main_text(weak) == f"{SAID}\n\n{SAID}"
+    monkeypatch.setattr(html, "WEAK_SHARE", 99)
+    assert html.main_text(weak) != f"{SAID}\n\n{SAID}"
+
+
+def test_html_against_pages_of_known_articles():
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(rng.choice(["river", "stone", "of", "evening", "the", "walk"], n)) + "."
+    for _ in range(60):
+        around = rng.choice(["article", "main", "div"])
+        lines = [text(rng.integers(12, 60)) for _ in range(rng.integers(3, 12))]
+        junk = [f"<nav>{''.join(f'<a>{text(1)}</a>' for _ in range(5))}</nav>", f"<div class='cookie-notice'>{text(8)}</div>", f"<header>{text(3)}</header>"]
+        after = [f"<aside>{text(6)}</aside>", f"<div id='comments'><p>{text(30)}</p></div>", f"<form>{text(4)}<input></form>", f"<footer>{text(5)}</footer>"]
+        body = "".join(f"<p>{x}</p>" if rng.random() < 0.8 else f"<ul><li>{x}</li></ul>" for x in lines)
+        page = f"<html><body>{''.join(rng.permutation(junk))}<{around}><h1>{text(4)}</h1>{body}</{around}>{''.join(rng.permutation(after))}</body></html>"
+        title = re.search("<h1>(.*?)</h1>", page)[1]
+        assert html.main_text(page) == "\n\n".join([title, *lines])
+
+
+def test_html_is_linear_in_nesting():
+    import time
+
+    def seconds(n):
+        at = time.process_time()
+        assert html.main_text("<div>x" * n + "</b>" * n + "<span>" * n + "<p>y" * n).startswith("x")
+        return time.process_time() - at
+
+    seconds(200)
+    assert seconds(16_000) < 12 * max(seconds(4000), 0.02)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, rank string, score int")
 
@@ -128,6 +185,34 @@ def test_nearest_of_few(spark):
     assert ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_nearest_of_repeated_rows_and_lengths(spark, parts):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1e9, 1.0]), (3, [1e9, 2.0]), (20, [0.5]), (7, [3.0]), (40, [1.0] * 3)]
+    want = sorted([(20, 1, 2, 1e9), (20, 2, 3, 1e9), (20, 3, 1, 2.0), (20, 4, 20, 1.0)] * 2 + [(20, 1, 7, 1.5)])
+    for order in (rows, rows[::-1]):
+        df = vectors(spark, order).repartition(parts)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect()) == want
+        df = df.where("size(embedding) = 2")
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.where("vec_id % 20 = 0"), k=2).collect()) == [(20, 1, 2)] * 2 + [(20, 2, 3)] * 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SIZE), reason="no test data")
+def test_recall_of_the_query(spark):
+    x = spark.read.parquet(f"{SIZE}/embeddings.parquet").select("vec_id", "embedding").where("embedding is not null").collect()
+    ids, v = np.array([r.vec_id for r in x]), np.array([r.embedding for r in x], np.float64)
+    got = {}
+    for r in ann.op9_ann(spark, SIZE).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i, q in zip(ids, v):
+        if i % 20 == 0:
+            score = v @ q
+            score[ids == i] = -np.inf
+            near = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+            hits, total = hits + len(near & got[int(i)]), total + len(near)
+    assert total and hits / total >= 0.9
+
+
 @pytest.mark.parametrize("radius", [3, 9, 20])
 def test_probing_reaches_every_code_within_the_radius(radius):
     rng = np.random.default_rng(radius)
