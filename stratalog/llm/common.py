@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Rows up to which a side of a join counts as small enough to broadcast; callers count first.
 BROADCAST_ROWS = 200_000
 
@@ -21,6 +27,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def released(batches: Iterator[T]) -> Iterator[T]:
+    """The batches of a task; when it is done its Python worker, which later tasks use too, gives
+    back to the system what it has freed."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.util.find_library("c")
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, released, table
 from .words import Words, grams, pieces, shingle_sets, split
 
 #: Words of a shingle and the share of an item's shingles that counts as contained.
@@ -129,7 +129,7 @@ _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())]))
 def _finder(known: Broadcast, contained: float) -> Callable[[Column], Column]:
     @F.arrow_udf("array<struct<item_id:bigint,share:double>>")
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in released(batches):
             found = []
             for piece in pieces(pa.RecordBatch.from_arrays([texts], ["t"])):
                 found += known.value.found(split(piece.column(0), NO_WORD, lower=True), contained)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, maybe_broadcast, stored, table
+from .common import bounded_batches, fresh, maybe_broadcast, released, stored, table
 from .words import mix, pieces, shingle_sets, split
 
 TREES, TOKENS, SKETCH = 16, 128, 128
@@ -287,15 +287,12 @@ def _linked(n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent:
     for i, x in enumerate(label.tolist()):
         forest.join(first.setdefault(x, i), i)
     forest.edges = []
-    rows, cols = [], []
+    maybe = np.zeros((size, size), bool)
     for lo in range(0, size, 256):
-        maybe = _maybe(n, sketch, slice(lo, lo + 256), percent)
-        maybe &= (np.arange(size) > np.arange(lo, lo + len(maybe))[:, None]) & (label[lo : lo + 256][:, None] != label)
-        i, j = np.nonzero(maybe)
-        rows.append(i + lo)
-        cols.append(j)
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
-    if len(rows) <= 8 * size:
+        i = slice(lo, lo + 256)
+        maybe[i] = _maybe(n, sketch, i, percent) & (np.arange(size) > np.arange(size)[i][:, None]) & (label[i][:, None] != label)
+    if int(maybe.sum()) <= 8 * size:
+        rows, cols = np.nonzero(maybe)
         for x, y in zip(rows.tolist(), cols.tolist()):
             if forest.find(x) != forest.find(y):
                 both = np.sort(np.concatenate([sets[x], sets[y]]), kind="stable")
@@ -322,11 +319,21 @@ def _linked(n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent:
             part = np.zeros((size, width), np.float32)
             part[owner[x:y], column[x:y] % width] = 1
             common += part @ part.T
-    counts = np.rint(common).astype(np.int64)
-    for x, y in zip(rows.tolist(), cols.tolist()):
-        c = int(counts[x, y])
-        if 100 * c >= percent * (int(n[x]) + int(n[y]) - c):
-            forest.join(x, y)
+    for lo in range(0, size, 256):
+        i = slice(lo, lo + 256)
+        c = np.rint(common[i]).astype(np.int64)
+        maybe[i] &= 100 * c >= percent * (n[i][:, None] + n - c)
+    maybe |= maybe.T
+    left = maybe.any(1)
+    while left.any():
+        front = np.array([int(np.argmax(left))])
+        left[front] = False
+        while len(front):  # breadth first: each row is joined to one that reached it
+            reached = np.flatnonzero(maybe[front].any(0) & left)
+            for y, x in zip(reached.tolist(), front[np.argmax(maybe[front][:, reached], 0)].tolist() if len(reached) else []):
+                forest.join(x, y)
+            left[reached] = False
+            front = reached
     return forest
 
 
@@ -404,7 +411,7 @@ class _Sets:
         if many:
             texts = self.own.join(maybe_broadcast(new, many), ["id", "print"]).select("text", "cls")
             k = self.k
-            sets = stored(texts.mapInArrow(lambda it: _sets(it, k), "cls long, set binary"), "near-sets")
+            sets = stored(texts.mapInArrow(lambda it: released(_sets(it, k)), "cls long, set binary"), "near-sets")
             if sets.count() != many:  # rows that repeat an id and its text come more than once
                 sets = stored(sets.groupBy("cls").agg(F.first("set").alias("set")), "near-sets")
             self.held = sets if self.held is None else self.held.unionByName(sets)
@@ -427,7 +434,7 @@ def verified(clusters: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     dealt = dealt.select(task.alias("task"), "cls", "label", "n", "sketch")
     full = sets.of(clusters.select("cls")).join(maybe_broadcast(dealt, rows), "cls")
     tasks = full.select("task", "cls", "label", "n", "sketch", "set").repartition("task").sortWithinPartitions("task")
-    return stored(tasks.mapInArrow(lambda it: _block_links(it, percent), _EDGE), "near-links")
+    return stored(tasks.mapInArrow(lambda it: released(_block_links(it, percent)), _EDGE), "near-links")
 
 
 def link_labels(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame | None:
@@ -463,9 +470,9 @@ def _walk(classes: DataFrame, trees: range, labels: _Labels, sets: _Sets, percen
                 dealt = branching.withColumn("_own", own).withColumn("_part", F.explode(parts))
                 task = F.xxhash64("node", F.least("_own", "_part"), F.greatest("_own", "_part"))
                 small = small.unionByName(dealt.select(task.alias("task"), *member[1:]))
-        clusters = small.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _clusters(it, percent), _CLUSTER)
+        clusters = small.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: released(_clusters(it, percent)), _CLUSTER)
         if branches and level < LEVELS:
-            clusters = clusters.unionByName(branching.select(*member, "parts", "pivots").mapInArrow(lambda it: _stars(it, percent), _CLUSTER))
+            clusters = clusters.unionByName(branching.select(*member, "parts", "pivots").mapInArrow(lambda it: released(_stars(it, percent)), _CLUSTER))
         clusters = stored(clusters.groupBy("cluster", "cls").agg(*[F.first(c).alias(c) for c in ("label", "n", "sketch")]), "near-clusters")
         if clusters.limit(1).count():
             labels.grow(verified(clusters, sets, percent))
@@ -525,7 +532,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("print"))
-    rows = stored(own.mapInArrow(lambda it: _signatures(it, k), _SIG), "near-rows")
+    rows = stored(own.mapInArrow(lambda it: released(_signatures(it, k)), _SIG), "near-rows")
     grouped = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min_by("print", "id").alias("print"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
     classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
     label = link_labels(classes, _Sets(own, classes, k), percent)

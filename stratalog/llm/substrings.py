@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, stored, table
+from .common import bounded_batches, fresh, released, stored, table
 from .words import Words, grams, mix, pieces, split
 
 SPAN, M = 20, 3
@@ -95,7 +95,7 @@ def hot_cells(docs: DataFrame, span: int, m: int) -> list[int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
-    cells = stored(docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    cells = stored(docs.select("text").mapInArrow(lambda it: released(count(it)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
     mean = (cells.agg(F.sum("n")).first()[0] or 0) / CELLS
     return sorted(r[0] for r in cells.where(F.col("n") > max(HOT * mean, 64)).select("cell").collect())
 
@@ -300,9 +300,9 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, m: int = M, text_bytes:
         if frames:
             yield _runs(_repeats(frames, span))
 
-    sent = docs.select("text", "id", "print").mapInArrow(send, "bucket long, frame binary")
+    sent = docs.select("text", "id", "print").mapInArrow(lambda it: released(send(it)), "bucket long, frame binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 64)
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, print long, at long, windows long")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: released(count(it)), "id long, print long, at long, windows long")
 
 
 def _kept(batches: Iterable[pa.RecordBatch], span: int, want_text: bool) -> Iterator[pa.RecordBatch]:
@@ -349,14 +349,14 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
     bounded_batches(docs.sparkSession)
     own = _documents(docs, id_col, text_col)
     rows = _with_spans(own, span, m).select("text", "id", "spans")
-    out = rows.mapInArrow(lambda b: _kept(b, span, False), "id long, n_words long, n_removed long, kept string")
+    out = rows.mapInArrow(lambda b: released(_kept(b, span, False)), "id long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def _kept_text(span: int) -> Callable[[Column, Column], Column]:
     @F.arrow_udf("string")
     def kept(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, spans in batches:
+        for texts, spans in released(batches):
             batch = pa.RecordBatch.from_arrays([texts, pa.nulls(len(texts), pa.int64()), spans], ["text", "id", "spans"])
             parts = [b.column(3) for b in _kept([batch], span, True)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())

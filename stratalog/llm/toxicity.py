@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, released, table
 from .words import pieces, split
 
 #: Labelled texts to learn from, at most, and the longest of them in bytes: at most 150 MB reach the driver.
@@ -182,7 +182,7 @@ def scores(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in released(batches):
             parts = [model.score(p.column(0)) for p in pieces(pa.RecordBatch.from_arrays([texts], ["t"]))]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
