@@ -49,6 +49,8 @@ def templates() -> list[tuple[int, str, bool, int, int, str, str]]:
     rows = []
     for t, (label, text, base) in enumerate([(a, b, True) for a, b in PHRASES] + [(a, b, False) for a, b in NOTICES]):
         w = text.split()
+        if not 2 <= len(w) <= 64:
+            raise ValueError("a template has 1 to 63 2-grams, as its votes are the bits of a long")
         rows += [(t, label, base, len(w) - 1, i, w[i], w[i + 1]) for i in range(len(w) - 1)]
     return rows
 
@@ -82,7 +84,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover:
 
     base: every place where all words of a phrase stand in a row. labels adds those of
     notices of which a span covers at least `cover`; score is the largest cover of any span,
-    0 without one. Null and empty texts have no words and labels ''. Rows with equal id and
+    0 without one. Documents are told apart by a 64-bit hash of id, text and the hash of the
+    reversed text. Null and empty texts have no words and labels ''. Rows with equal id and
     text each get a row with the same values; an empty table gives none; other columns don't matter."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.xxhash64(F.reverse(F.coalesce("text", F.lit(""))))))
