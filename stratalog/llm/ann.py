@@ -5,8 +5,9 @@ angle) and coded by the signs of two rotations learned on a bounded sample. Bloc
 index split each code into substrings and keep a table of each. A query probes the buckets
 within radius // substrings of its own substring, which by the pigeonhole principle reaches
 every code within the radius, and what it reaches is reranked on the original vectors.
-Queries come in blocks of bounded size; every block of the index answers each with its
-nearest few, as arrays, and those are merged."""
+Vectors are dealt to blocks by a random number, queries are sent to every block behind its
+vectors, and a task builds a block's tables once and answers its queries as they stream by,
+each with its nearest few, as arrays; those are merged."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import released, stored, table
 
 #: Vectors that rotations and radius are learned from, at most, and queries among them that set the radius.
 SAMPLE, PROBES = 20_000, 200
@@ -27,8 +28,9 @@ SAMPLE, PROBES = 20_000, 200
 TARGET = 0.98
 #: Bits of a substring, and rotations, each of which gives a bit per dimension.
 CHUNK, ROTATIONS = 16, 2
-#: Queries that are broadcast at once, and vectors in a block of the index.
-QUERY_BLOCK, INDEX_BLOCK = 4096, 65_536
+#: Vectors in a block of the index, about, and in one of a small table, which has up to 8 blocks.
+INDEX_BLOCK, SMALL_BLOCK = 65_536, 4096
+_ANSWER = "query long, query_id long, itself double, ids array<long>, scores array<double>"
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -151,7 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     asked = stored(asked.withColumn("query", F.monotonically_increasing_id()), "ann-queries")
     shapes = base.join(F.broadcast(asked.select(F.size("v").alias("dim")).distinct()), F.size("v") == F.col("dim")).groupBy("dim").agg(F.count("*").alias("rows"), F.max(norm).alias("top")).orderBy("dim").collect()  # a row per length
-    found = [_search(base.where(F.size("v") == s["dim"]), asked.where(F.size("v") == s["dim"]), s["dim"], s["rows"], s["top"], k) for s in shapes]
+    found = [_search(base.where(F.size("v") == s["dim"]), asked.where(F.size("v") == s["dim"]), s["rows"], s["top"], k) for s in shapes]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     hits = reduce(DataFrame.union, found)
@@ -163,50 +165,47 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(base: DataFrame, asked: DataFrame, dim: int, rows: int, top: float, k: int) -> DataFrame:
+def _search(base: DataFrame, asked: DataFrame, rows: int, top: float, k: int) -> DataFrame:
     """(query, query_id, itself, vec_id, score): of each query (id, v, query) the k + 1 nearest of
     each block of base (id, v), `itself` being the query's score with itself."""
     spark = base.sparkSession
-    out_type = "query long, query_id long, itself double, ids array<long>, scores array<double>"
     sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-    coder = Coder(_matrix(sample), float(top) * (1 + 1e-9), k)
-    model = spark.sparkContext.broadcast(coder)
-    n_queries = asked.count()
-    blocks = -(-n_queries // QUERY_BLOCK)
-    # blocks of the index are even parts of a hash of the id
-    parts = max(1, -(-rows // INDEX_BLOCK))
-    indexed = stored(base.repartition(max(parts, min(8, -(-rows // 4096))), F.xxhash64("id")), "ann-index")
-    found = []
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow()
-        vecs_b = _matrix(part.column(1).combine_chunks()) if part.num_rows else np.zeros((0, dim))
-        asked_b = spark.sparkContext.broadcast((part.column(2).to_numpy(), part.column(0).to_numpy(), vecs_b))
-
-        def answer(batches: Iterator[pa.RecordBatch], asked_b=asked_b) -> Iterator[pa.RecordBatch]:
-            ids, vecs = [], []
-
-            def block() -> Iterator[pa.RecordBatch]:
-                index = Index(np.concatenate(ids), np.concatenate(vecs), model.value)
-                numbers, names, queries = asked_b.value
-                hits = list(index.search(numbers, queries, k + 1))
-                if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(names), pa.array((queries * queries).sum(1)), pa.array([h[1] for h in hits], pa.list_(pa.int64())), pa.array([h[2] for h in hits], pa.list_(pa.float64()))], ["query", "query_id", "itself", "ids", "scores"])
-
-            for batch in batches:
-                if batch.num_rows:
-                    ids.append(batch.column(0).to_numpy())
-                    vecs.append(_matrix(batch.column(1)))
-                if sum(map(len, ids)) >= INDEX_BLOCK:
-                    yield from block()
-                    ids, vecs = [], []
-            if ids:
-                yield from block()
-
-        found.append(indexed.mapInArrow(answer, out_type))
-    hits = reduce(DataFrame.union, found)
+    model = spark.sparkContext.broadcast(Coder(_matrix(sample), float(top) * (1 + 1e-9), k))
+    parts = max(-(-rows // INDEX_BLOCK), min(8, -(-rows // SMALL_BLOCK)))
+    # by a random number, not the id: many rows may share one
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    indexed = stored(base.select(part.alias("part"), F.lit(None).cast("long").alias("query"), "id", "v"), "ann-index")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = indexed.unionByName(asked.select(every.alias("part"), "query", "id", "v")).repartitionById(parts, "part")
+    # nulls come first: a block's vectors are all there before its first query
+    hits = dealt.sortWithinPartitions("part", "query").mapInArrow(lambda it: released(_answers(it, model.value, k + 1)), _ANSWER)
     return hits.select("query", "query_id", "itself", F.explode(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))).alias("h")).select("query", "query_id", "itself", "h.vec_id", "h.score")
 
 
+def _answers(batches: Iterator[pa.RecordBatch], coder: Coder, k: int) -> Iterator[pa.RecordBatch]:
+    """Answers to the queries among rows (part, query, id, v), which come by part, the part's vectors first."""
+    part, ids, vectors, index = None, [], [], None
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows = batch.slice(lo, hi - lo)
+            if at[lo] != part:
+                part, ids, vectors, index = at[lo], [], [], None
+            own = rows.column(1).null_count
+            if own:
+                ids.append(rows.column(2).slice(0, own).to_numpy())
+                vectors.append(_matrix(rows.column(3).slice(0, own)))
+            if own == len(at[lo:hi]) or not ids:
+                continue
+            index = index or Index(np.concatenate(ids), np.concatenate(vectors), coder)
+            asked = rows.slice(own)
+            queries = _matrix(asked.column(3))
+            hits = list(index.search(asked.column(2).to_numpy(), queries, k))
+            found = [pa.array([h[1] for h in hits], pa.list_(pa.int64())), pa.array([h[2] for h in hits], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([asked.column(1), asked.column(2), pa.array((queries * queries).sum(1)), *found], ["query", "query_id", "itself", "ids", "scores"])
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)

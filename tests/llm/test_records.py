@@ -155,7 +155,9 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, rank string, score int")
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("block", [4096, 300])
+def test_nearest(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "SMALL_BLOCK", block)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
