@@ -63,7 +63,7 @@ def words(text: Column) -> Column:
 
 def spans(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """Rows key, template, label, phrase, start, last, covered of every span with two 2-grams
-    of a template or all of a shorter one. docs: key and text."""
+    of a template or all of a shorter one. docs: key, of any type that can be grouped by, and text."""
     spark = docs.sparkSession
     known = spark.createDataFrame(templates(), "template int, label string, phrase boolean, grams int, at int, a string, b string").withColumn("gram", F.xxhash64("a", "b"))
     own = docs.select("key", words(F.col("text")).alias("w"))
@@ -84,11 +84,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover:
 
     base: every place where all words of a phrase stand in a row. labels adds those of
     notices of which a span covers at least `cover`; score is the largest cover of any span,
-    0 without one. Documents are told apart by a 64-bit hash of id, text and the hash of the
-    reversed text. Null and empty texts have no words and labels ''. Rows with equal id and
+    0 without one. Documents are told apart by their id, and texts of one id by two 64-bit
+    hashes, of the text and of its reverse. Null and empty texts have no words and labels ''. Rows with equal id and
     text each get a row with the same values; an empty table gives none; other columns don't matter."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = own.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.xxhash64(F.reverse(F.coalesce("text", F.lit(""))))))
+    text = F.coalesce("text", F.lit(""))
+    own = own.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("print"), F.xxhash64(F.reverse(text)).alias("reverse")))
     found = spans(own.select("key", "text"))
     base = F.col("phrase") & (F.col("covered") == 1)
     per_doc = found.groupBy("key").agg(

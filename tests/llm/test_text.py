@@ -336,6 +336,8 @@ def test_licenses(spark, docs_of):
     assert out[5].n_words == 0 and out[5].labels == "" and out[5].score == 0 and len(out) == len(texts)
     twice = licenses.scan(docs_of([(1, "mit license"), (1, "mit license")])).collect()
     assert [r.n_base for r in twice] == [1, 1]
+    same_id = licenses.scan(docs_of([(1, "mit license"), (1, "cc by"), (None, "apache license"), (None, "none"), (0, "gnu")])).collect()
+    assert sorted((r.doc_id is None, r.base_labels) for r in same_id) == [(False, ""), (False, "cc-by"), (False, "mit"), (True, ""), (True, "apache")]
     assert licenses.scan(docs_of(["a"]).limit(0)).count() == 0
 
 
