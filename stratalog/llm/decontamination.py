@@ -6,11 +6,14 @@ of windows of 2s shingles, s apart, so that a passage of an item lies whole in s
 of about its size, however long the document: there containment becomes a resemblance that
 a signature finds. An item and a window that share any of the signature's minima are a
 candidate, which the exact share of the item's shingles in the whole document decides.
-Items are broadcast in blocks of bounded size, and documents are neither joined nor moved."""
+A benchmark of one block of items is broadcast, and documents are neither joined nor moved. Of a
+larger one block after block is broadcast to a pass of its own, which stores what it finds, so
+that no executor holds more than a block; what was found is joined to the documents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, released, table
+from .common import BROADCAST_ROWS, bounded_batches, fresh, released, stored, table
 from .words import Words, grams, pieces, shingle_sets, split
 
 #: Words of a shingle and the share of an item's shingles that counts as contained.
@@ -26,8 +29,12 @@ K, CONTAINED = 5, 0.8
 #: Minima of a signature. An item of more than half its class's size of which 0.8 is in a window
 #: resembles it by at least 0.19, so it goes unseen with probability 0.81 ** 64, about one in a million.
 MINIMA = 64
-#: Items that are broadcast at once, and the smallest size class; items of up to half of that are looked up exactly.
-ITEM_BLOCK, LEAST = 20_000, 8
+#: Items and bytes of their texts that are broadcast at once, about.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 1 << 25
+#: The smallest size class; items of up to half of that are looked up exactly.
+LEAST = 8
+#: Parts to which the rows of a text are dealt in a join that isn't a broadcast.
+SALTS = 32
 _U = np.uint64
 _A = np.random.default_rng(5).integers(1, 2**62, MINIMA, dtype=np.uint64) * _U(2) + _U(1)
 #: Words are runs of ASCII letters and digits, in lower case, and of what is beyond ASCII.
@@ -138,6 +145,40 @@ def _finder(known: Broadcast, contained: float) -> Callable[[Column], Column]:
     return hits
 
 
+def with_hits(docs: DataFrame, name: str, benchmark: DataFrame, text_col: str = "text", k: int = K, contained: float = CONTAINED) -> DataFrame:
+    """docs with a column `name`, array<struct<item_id, share>>: the items that the row's text contains.
+
+    Texts of passes are told apart by two 64-bit hashes, of the text and of its reverse."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // ITEM_BLOCK), -(-size // ITEM_BYTES))
+
+    def block(b: int) -> Broadcast:
+        part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        return spark.sparkContext.broadcast(Items(part.column(0).to_pylist(), part.column(1).to_pylist(), k, contained))
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    if blocks == 1:
+        return docs.withColumn(name, _finder(block(0), contained)(text))
+    key = fresh(docs.select("*", F.lit(0).alias(name)), "print", "reverse", "salt")
+    keyed = docs.withColumns({key[0]: F.xxhash64(text), key[1]: F.xxhash64(F.reverse(text))})
+    passes = []
+    for b in range(blocks):
+        known = block(b)
+        passes.append(stored(keyed.select(*key[:2], F.explode(_finder(known, contained)(text)).alias(name)).distinct(), "benchmark-hits"))
+        known.unpersist()
+    found = reduce(DataFrame.union, passes)
+    hits = found.groupBy(*key[:2]).agg(F.collect_list(name).alias(name))
+    if found.count() <= BROADCAST_ROWS:
+        out = keyed.join(F.broadcast(hits), key[:2], "left")
+    else:  # a text may have any number of copies
+        salted = keyed.withColumn(key[2], F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        out = salted.join(hits.withColumn(key[2], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), key, "left")
+    return out.select(*docs.columns, F.coalesce(name, F.array().cast("array<struct<item_id:bigint,share:double>>")).alias(name))
+
+
 def item_hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", k: int = K, contained: float = CONTAINED) -> Column:
     """A column array<struct<item_id, share>> of the items that a text contains.
 
@@ -161,7 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     document; one of fewer than k words if these stand in a row. Null and empty texts contain
     nothing (share 0); items that are null, without id or without words match nothing. An
     empty benchmark marks nothing, an empty table gives no rows; other columns don't matter."""
-    hits = docs.select(F.col(id_col).cast("long").alias("doc_id"), item_hits(F.col(text_col), benchmark, k=k, contained=contained).alias("h"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hits = with_hits(own, "h", benchmark, k=k, contained=contained)
     share = F.coalesce(F.array_max(F.col("h.share")), F.lit(0.0))
     return hits.select("doc_id", F.size("h").cast("long").alias("n_items"), F.array_sort(F.col("h.item_id")).alias("item_ids"), share.alias("share"), (F.size("h") > 0).alias("contaminated"))
 

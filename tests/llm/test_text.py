@@ -314,12 +314,20 @@ def test_items_of_few_shingles(contained):
     assert decontamination.Items(list(range(len(items))), items, 5, contained).found(split(texts), contained) == want
 
 
-def test_items_in_blocks(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 2)
+@pytest.mark.parametrize("few", [0, 200_000])
+@pytest.mark.parametrize("bound", ["ITEM_BLOCK", "ITEM_BYTES"])
+def test_items_in_blocks(spark, docs_of, monkeypatch, bound, few):
+    monkeypatch.setattr(decontamination, bound, {"ITEM_BLOCK": 2, "ITEM_BYTES": 250}[bound])
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", few)
     rng = random.Random(6)
     items = [(i, prose(rng, 20)) for i in range(7)]
-    out = decontamination.contaminated(docs_of([x for _, x in items] + [items[2][1] + " " + items[5][1]]), spark.createDataFrame(items, "item_id long, text string"))
-    assert [r.item_ids for r in out.orderBy("doc_id").collect()] == [[i] for i in range(7)] + [[2, 5]]
+    texts = [x for _, x in items] + [items[2][1] + " " + items[5][1], None, "", items[3][1], items[3][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.contaminated(docs_of(texts), bench)
+    assert [r.item_ids for r in out.orderBy("doc_id").collect()] == [[i] for i in range(7)] + [[2, 5], [], [], [3], [3]]
+    docs = docs_of(texts).selectExpr("*", "'own' as _print")
+    kept = decontamination.with_hits(docs, "hits", bench)
+    assert kept.columns == [*docs.columns, "hits"] and sorted(map(repr, kept.drop("hits").collect())) == sorted(map(repr, docs.collect()))
 
 
 # --- licenses ---
