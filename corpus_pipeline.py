@@ -54,8 +54,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts hold none, and null and empty items are held by none. Repeated rows go
     or stay together; without items all rows stay."""
     (found,) = fresh(docs, "hits")
-    hits = decontamination.item_hits(F.col("text"), table(spark, sf_dir, "benchmark"))
-    return docs.withColumn(found, F.size(hits)).where(F.col(found) == 0).select(*docs.columns)
+    hits = decontamination.with_hits(docs, found, table(spark, sf_dir, "benchmark"))
+    return hits.where(F.size(found) == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
