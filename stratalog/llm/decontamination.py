@@ -179,22 +179,6 @@ def with_hits(docs: DataFrame, name: str, benchmark: DataFrame, text_col: str =
     return out.select(*docs.columns, F.coalesce(name, F.array().cast("array<struct<item_id:bigint,share:double>>")).alias(name))
 
 
-def item_hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", k: int = K, contained: float = CONTAINED) -> Column:
-    """A column array<struct<item_id, share>> of the items that a text contains.
-
-    The items are read in blocks of about ITEM_BLOCK; each is broadcast to one pass over the texts."""
-    spark = benchmark.sparkSession
-    bounded_batches(spark)
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    columns = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        known = spark.sparkContext.broadcast(Items(part.column(0).to_pylist(), part.column(1).to_pylist(), k, contained))
-        columns.append(_finder(known, contained)(F.coalesce(text.cast("string"), F.lit(""))))
-    return columns[0] if blocks == 1 else F.concat(*columns)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, contained: float = CONTAINED) -> DataFrame:
     """One row per row of docs: doc_id, n_items, item_ids (ascending), share (largest), contaminated.
 
