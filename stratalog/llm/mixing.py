@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import global_rank, maybe_broadcast, stored, table
+from .common import BROADCAST_ROWS, global_rank, stored, table
 
 #: Bits of a document's hash, and bits that one histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Parts to which the documents of a source are dealt where the sources are too many to broadcast.
+SALTS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,6 +29,18 @@ def place(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def _joined(rows: DataFrame, sources: DataFrame, many: int) -> DataFrame:
+    """rows with the columns of their source in `sources`, a row per key, of which there are `many`.
+
+    A key is of fixed width, so a broadcast is bounded by its rows. Beyond that a source's rows are
+    dealt to SALTS parts, each with a copy of its row, as one source may hold a third of all."""
+    if many <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(sources), "key")
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    each = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, ["key", "_salt"]).drop("_salt")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
     """Add `target` (double) to a table (source, source_size), one row per source.
 
@@ -60,7 +74,7 @@ def thresholds(base: DataFrame, targets: DataFrame, many: int) -> DataFrame:
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - LEVEL_BITS * level
         open_ = state.where("thr is null").select("key", "prefix", "below", "need")
-        inside = base.join(maybe_broadcast(open_, many), "key").where(F.shiftright("place", shift + LEVEL_BITS) == F.col("prefix"))
+        inside = _joined(base, open_, many).where(F.shiftright("place", shift + LEVEL_BITS) == F.col("prefix"))
         histogram = inside.groupBy("key", "below", "need", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.min("place").alias("lo"), F.max("place").alias("hi"))
         over = W.partitionBy("key").orderBy("bucket")
         histogram = histogram.withColumn("upto", F.col("below") + F.sum("words").over(over)).withColumn("from", F.col("upto") - F.col("words"))
@@ -87,14 +101,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     threshold. Null texts are of size 0 and null sources one source; rows with equal ids share
     a place and are taken alike. An empty table gives an empty result; other columns don't matter."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    key = F.coalesce(F.sha2("source", 256), F.lit("null"))
     base = stored(base.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "mix-base")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, weights, max_repeat).withColumn("key", key), "mix-targets")
     many = targets.count()
     plan = targets.join(thresholds(base, targets, many), "key").select("key", "source_size", "target", "times", "thr")
     taken = F.col("size") * (F.col("times") + (F.col("place") <= F.col("thr")).cast("long"))
-    return base.join(maybe_broadcast(plan, many), "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return _joined(base, plan, many).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

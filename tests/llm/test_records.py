@@ -180,6 +180,16 @@ def test_nearest(spark, monkeypatch, block):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_sample_of_vectors_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 200)
+    base = spark.range(5000).selectExpr("id", "array(double(id), 1D) as v")
+    own = {int(v[0]) for v in ann._sample(base, 5000).to_pylist()}
+    assert 150 < len(own) <= 200 and max(own) > 2500
+    assert len(ann._sample(spark.range(3).selectExpr("id", "array(double(id)) as v"), 3)) == 3
+    copies = spark.range(5000).selectExpr("1L as id", "array(1D, 2D) as v")
+    assert len(ann._sample(copies, 5000)) == 200
+
+
 def test_nearest_of_few(spark):
     df = vectors(spark, [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0])])
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]

@@ -352,7 +352,9 @@ def test_licenses(spark, docs_of):
 # --- mixing ---
 
 
-def test_mixing(spark, docs_of):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_mixing(spark, docs_of, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", few)
     rng = random.Random(5)
     docs = docs_of([*AWKWARD, *[prose(rng, rng.randrange(1, 60)) for _ in range(600)]])
     skewed = docs.selectExpr("doc_id", "text", "case when doc_id % 3 = 0 then null when doc_id < 30 then 'b' when doc_id % 50 = 1 then 'a' else 'c' end as source")
@@ -366,6 +368,7 @@ def test_mixing(spark, docs_of):
     assert sum(t for _, t in sums) == pytest.approx(total)
     for (size, target), taken in sums.items():
         assert target <= 3 * size + 1e-9 and abs(sum(taken) - target) <= 60
+    assert len(out) == skewed.count()
     assert mixing.mix(skewed.limit(0)).count() == 0
     assert [r.taken for r in mixing.mix(docs_of([None, ""])).collect()] == [0, 0]
 
