@@ -185,7 +185,7 @@ def ordered_range(spark, d):
 
 def btree_shape(spark, d):
     shapes = [(n, t, ordered.tree_shape(range(n), t)) for n, t in ((1000, 2), (10_000, 2), (100_000, 2))]
-    return spark.createDataFrame([(n, t, s["height"], s["nodes"], round(100 * s["fill"], 1)) for n, t, s in shapes], "n long, t long, height long, nodes long, fill_percent double")
+    return spark.createDataFrame([(n, t, s["height"], s["nodes"], round(100 * s["fill"], 1)) for n, t, s in shapes], "n long, t long, height long, nodes long, fill_percent double").withColumn("log2_n", F.round(F.log2("n"), 1))
 
 
 def run_invariants(spark, d):
@@ -506,6 +506,14 @@ select k, gen, v from top where not tomb and k not in (select k from (select * f
         "tables_probed": f"with {_SST} select k, ((select max(gen) from sst) - max(gen) + 1)::bigint as probed from sst group by k",
         "memtable_absorption": f"""with {_KV}, r as (select * from kv qualify row_number() over (partition by gen, key order by seq desc) = 1)
 select gen, w.writes, w.written_bytes, r2.entries, r2.run_bytes from (select gen, count(*) as writes, sum(12 + body)::bigint as written_bytes from kv group by gen) w join (select gen, count(*) as entries, sum(12 + body)::bigint as run_bytes from r group by gen) r2 using (gen)""",
+        "flush_by_bytes": f"""with recursive {_KV},
+o as (select seq, substr(key, 13, 1) as store, key, body::bigint as size, row_number() over (partition by substr(key, 13, 1) order by seq) as i from kv),
+w as (
+  select store, 0::bigint as i, null::bigint as seq, 0::bigint as gen, 0::bigint as next_gen, map([]::varchar[], []::bigint[]) as held from (select distinct store from o)
+  union all
+  select store, i, seq, gen, gen + case when list_sum(map_values(now)) >= 200 then 1 else 0 end, case when list_sum(map_values(now)) >= 200 then map([]::varchar[], []::bigint[]) else now end
+  from (select o.store, o.i, o.seq, w.next_gen as gen, map_concat(w.held, map([o.key], [o.size])) as now from w join o on o.store = w.store and o.i = w.i + 1))
+select hex(store) as store, gen, count(*) as mutations, min(seq) as first_seq from w where i > 0 group by all""",
         "ordered_distinct_keys": "select distinct l_partkey from lineitem",
         "insert_outcome": "select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_commit) = 1 as inserted from (select *, row_number() over (order by l_discount, l_extendedprice, l_linenumber, l_linestatus, l_orderkey, l_partkey, l_quantity, l_returnflag, l_shipdate, l_suppkey, l_tax) as l_commit from lineitem)",
         "sorted_keys": "select distinct l_suppkey from lineitem order by 1",
@@ -531,7 +539,7 @@ x as (select key, gen from pp left join bits using (gen, pos) group by key, gen
         "decode_records": f"with {_KV} select seq, 'ok' as status, ts, key, value, tombstone from kv",
         "bit_flip_detection": "select * from (values ('timestamp', 'corrupt'), ('key_length', 'corrupt'), ('value_length', 'short'), ('key', 'corrupt'), ('value', 'corrupt')) t(region, status)",
         "torn_tail_recovery": "select file, ((select count(*) from events) - lost)::bigint as records, ends, 3::bigint as files, junk_bytes from (values ('whole', 0, 'end', 0::bigint), ('cut', 3, 'short', 0::bigint), ('junk', 0, 'short', 33::bigint)) t(file, lost, ends, junk_bytes)",
-        "btree_shape": "select * from (values (1000::bigint, 2::bigint, 9::bigint, 992::bigint, 33.6::double), (10000, 2, 13, 9992, 33.4), (100000, 2, 16, 99990, 33.3)) v(n, t, height, nodes, fill_percent)",
+        "btree_shape": "select *, round(log2(n), 1) as log2_n from (values (1000::bigint, 2::bigint, 9::bigint, 992::bigint, 33.6::double), (10000, 2, 13, 9992, 33.4), (100000, 2, 16, 99990, 33.3)) v(n, t, height, nodes, fill_percent)",
         "log_merge": f"with {_KV_LAST} select key, value, ts, tombstone from last where not tombstone",
         "wal_append": f"with {_KV_LAST} select key, value, (select sum(12 + body) from kv)::bigint as wal_bytes, 0::bigint as after_reset from last where not tombstone",
         "sst_get": f"with {_KV_LAST} select key, gen, value, tombstone from last where key < 'user:00000200'",

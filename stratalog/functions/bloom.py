@@ -5,14 +5,18 @@ A filter of n keys has m = 10 n bits, rounded up to whole bytes, and 7 hashes; p
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.joins import small_side
 
-# Halves of the FNV-1a 64 start, low part of its prime 2**40 + 435, and the filter's shape.
+# Halves of the FNV-1a 64 start, low part of its prime 2**40 + 435, and bits per key.
 FNV_LOW, FNV_HIGH, FNV_PRIME_LOW = 2216829733, 3421674724, 435
-BITS_PER_KEY, HASHES = 10, 7
+BITS_PER_KEY = 10
+#: The number of hashes with fewest false positives for so many bits: 7.
+HASHES = round(BITS_PER_KEY * math.log(2))
 _MASK = (1 << 32) - 1
 
 

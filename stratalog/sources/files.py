@@ -1,8 +1,9 @@
 """DataFrames over files of the binary formats.
 
-Files are read whole through Spark's binaryFile source, so any storage that Spark reaches
+Files are read through Spark's binaryFile source, so any storage that Spark reaches
 will do; a file is one task, as where a record starts is known only from those before it. A
-log is a folder of such files, and writers bound what goes to one. Tasks write through
+log is a folder of such files, and writers bound what goes to one. Logs that others wrote may have
+files too large for one value: tasks open those themselves and hold a record at a time. Tasks open and write files through
 pyarrow's file systems, which a URI names; without a scheme it is a mounted path."""
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from stratalog.sources import binary
 
 _ENTRY = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("ts", pa.int64()), ("key", pa.binary()), ("value", pa.binary()), ("tombstone", pa.bool_())])
 _ENTRY_DDL = "file string, offset long, ts long, key binary, value binary, tombstone boolean"
-_ROWS = 2048
+#: Rows of a batch, and bytes of its keys and values, at most.
+_ROWS, _BYTES = 2048, 32 << 20
 #: Bytes from which a log file is closed and another begun: far below what one binary value can hold.
 FILE_BYTES = 128 << 20
+#: Bytes beyond which a log file is streamed: one binary value holds less than 2 GiB.
+WHOLE_BYTES = 1 << 30
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -45,19 +49,50 @@ def _entries(files: DataFrame, parse: Callable[[bytes], Iterator[tuple[int, bina
     return files.mapInArrow(read, _ENTRY_DDL)
 
 
+def _streams(spark: SparkSession, path: str, pattern: str, read: Callable[[str, int, pa.NativeFile], Iterator[pa.RecordBatch]], ddl: str, whole: int) -> DataFrame:
+    """What read(path, bytes, stream) yields of each file. Files of up to `whole` bytes come with their
+    content; of larger ones only the names do, as the scan doesn't read a column that isn't asked for."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, size, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                with _opened(p) if not content.is_valid else pa.BufferReader(content.as_buffer()) as stream:
+                    yield from read(p, size, stream)
+
+    with_content = found.where(F.col("length") <= whole).select("path", "length", "content")
+    names = found.where(F.col("length") > whole).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return with_content.mapInArrow(over, ddl).unionByName(names.mapInArrow(over, ddl))
+
+
+def _log_entries(head: int) -> Callable[[str, int, pa.NativeFile], Iterator[pa.RecordBatch]]:
+    def read(path: str, size: int, stream: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for at, r in binary.Reader(stream.read, head):
+            rows.append((path, at, r.ts, r.key, r.value, r.tombstone))
+            held += len(r.key) + len(r.value or b"")
+            if len(rows) == _ROWS or held >= _BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        yield _batch(rows)
+
+    return read
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ENTRY)], schema=_ENTRY)
 
 
-def read_log(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
+def read_log(spark: SparkSession, path: str, pattern: str = "*.log", whole: int = WHOLE_BYTES) -> DataFrame:
     """Records of log files up to the first torn or damaged one of each: file, offset, ts, key,
     value, tombstone. (file, offset) is the order of the log."""
-    return _entries(_files(spark, path, pattern), lambda data: binary.walk(data, LOG_HEAD))
+    return _streams(spark, path, pattern, _log_entries(LOG_HEAD), _ENTRY_DDL, whole)
 
 
-def read_wal(spark: SparkSession, path: str, pattern: str = "wal*.log") -> DataFrame:
+def read_wal(spark: SparkSession, path: str, pattern: str = "wal*.log", whole: int = WHOLE_BYTES) -> DataFrame:
     """Records of the write-ahead log's files, likewise; ts is null."""
-    return _entries(_files(spark, path, pattern), lambda data: binary.walk(data, TABLE_HEAD))
+    return _streams(spark, path, pattern, _log_entries(TABLE_HEAD), _ENTRY_DDL, whole)
 
 
 def _tables(spark: SparkSession, path: str) -> DataFrame:
@@ -83,16 +118,16 @@ def get_from_tables(spark: SparkSession, path: str, keys: list[bytes]) -> DataFr
     return found.groupBy("key").agg(F.max_by(F.struct("file", "offset", "value", "tombstone", "gen"), "gen").alias("_x")).select("key", "_x.*")
 
 
-def recovery_report(spark: SparkSession, path: str, pattern: str = "*.log", head: int = LOG_HEAD) -> DataFrame:
+def recovery_report(spark: SparkSession, path: str, pattern: str = "*.log", head: int = LOG_HEAD, whole: int = WHOLE_BYTES) -> DataFrame:
     """Per file: records, valid_bytes, lost_bytes and ends (end, short or corrupt). Nothing is cut off."""
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(p, *binary.recovered(c, head), len(c)) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            cols = list(zip(*found)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([n - v for n, v in zip(cols[4], cols[2])], pa.int64()), pa.array(cols[3], pa.string())], ["file", "records", "valid_bytes", "lost_bytes", "ends"])
+    def report(name: str, size: int, stream: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        log = binary.Reader(stream.read, head)
+        for _ in log:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([log.records]), pa.array([log.valid]), pa.array([size - log.valid]), pa.array([log.ends])], ["file", "records", "valid_bytes", "lost_bytes", "ends"])
 
-    return _files(spark, path, pattern).mapInArrow(report, "file string, records long, valid_bytes long, lost_bytes long, ends string")
+    return _streams(spark, path, pattern, report, "file string, records long, valid_bytes long, lost_bytes long, ends string", whole)
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +144,11 @@ def _uri(folder: str) -> str:
     return "file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder
 
 
+def _opened(path: str) -> pa.NativeFile:
+    store, base = pafs.FileSystem.from_uri(_uri(path))
+    return store.open_input_stream(base)
+
+
 def _place(folder: str, name: str, data: bytes) -> None:
     """Written beside and renamed: a reader sees the whole file or none. A retried task replaces
     its file by an equal one."""

@@ -1,5 +1,6 @@
 """Semantics of keyed state on small inputs: against a plain dict, and byte by byte."""
 
+import io
 import random
 import struct
 
@@ -100,6 +101,29 @@ def test_torn_tails():
     assert binary.recovered(log + b"junkjunk123", model.LOG_HEAD)[:2] == (100, len(log))
 
 
+@pytest.mark.parametrize("piece", [1, 37, 1 << 20])
+def test_streamed_logs_are_as_whole_ones(piece):
+    rng = random.Random(piece)
+    for head in (model.LOG_HEAD, model.TABLE_HEAD):
+        log = b"".join(binary.encode(binary.Record(b"k%d" % i, rng.randbytes(rng.randrange(200)), i % 7 == 0, i), head) for i in range(60))
+        flipped = log[:2000] + bytes([log[2000] ^ 4]) + log[2001:]
+        for data in (b"", log, log[:-5], log + bytes(11), log + b"junkjunkjunkjunkjunk1", flipped):
+            reader = binary.Reader(io.BytesIO(data).read, head, piece)
+            assert list(reader) == list(binary.walk(data, head))
+            assert (reader.records, reader.valid, reader.ends) == binary.recovered(data, head)
+
+
+def test_large_log_files_are_streamed(spark, tmp_path):
+    log = mutations(spark, random_rows(300, 40, 8))
+    files.write_log(log, str(tmp_path / "log"), 3)
+    files.write_wal(log, str(tmp_path / "wal"), 2)
+    sizes = [f.stat().st_size for f in (tmp_path / "log").glob("*.log")]
+    for read, folder in ((files.read_log, "log"), (files.read_wal, "wal"), (files.recovery_report, "log")):
+        want = sorted(map(repr, read(spark, str(tmp_path / folder)).collect()))
+        for whole in (0, min(sizes)):
+            assert want and sorted(map(repr, read(spark, str(tmp_path / folder), whole=whole).collect())) == want
+
+
 def test_table_files():
     entries = [binary.Record(b"a", b"1"), binary.Record(b"b", None, True), binary.Record(b"c", b""), binary.Record(b"d", b"x" * 5000)]
     data = binary.write_table(entries)
